@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secret_scan
+from . import bpe, quality, secret_scan
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,39 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), tokenizer_path())
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its measures, whether its own rules fail, and the verdict with its host's."""
+    return quality.judge(documents(spark, sf_dir))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram
+      FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 4)) AS i FROM w WHERE len(ws) >= 5)),
+p AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1),
+r AS (SELECT rid, count(DISTINCT i + k) AS n FROM p, generate_series(0, 4) AS s(k) GROUP BY rid),
+m AS (SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+        CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r ON r.rid = w.rid),
+b AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, sum(CAST(base_failed AS INT)) AS f, sum(CAST(base_failed AS INT)) / count(*) AS rate
+      FROM b WHERE source IS NOT NULL GROUP BY source),
+q AS (SELECT avg(rate) AS mean, var_pop(rate) AS var FROM h),
+k AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, mean * (1 - mean) / var - 1) ELSE 1.0 END AS s FROM q),
+x AS (SELECT source FROM h, k WHERE (f + mean * s) / (n + s) > 0.5)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  (source IS NOT NULL AND source IN (SELECT source FROM x)) AS host_rejected,
+  NOT base_failed AND NOT (source IS NOT NULL AND source IN (SELECT source FROM x)) AS kept FROM b
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec}
+    return {"op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_quality_rules": OP10_SQL}
