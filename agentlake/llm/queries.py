@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secret_scan
-from .common import documents
+from . import bpe, langid, quality, secret_scan, toxicity
+from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its toxicity score and prediction."""
+    return toxicity.toxicity(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its predicted language and the network's pooled probability."""
+    docs = documents(spark, sf_dir)
+    out = langid.predict(docs, *langid.fit(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the counts of the base kinds, the digest of their spans, and all spans."""
     found = secret_scan.scan(documents(spark, sf_dir))
@@ -69,7 +81,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op10_quality_rules": op10_quality_rules}
+    return {"op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
