@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secret_scan, toxicity
+from . import bpe, langid, quality, secret_scan, simhash, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(documents(spark, sf_dir), tokenizer_path())
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its fingerprint and its near-duplicate class."""
+    return simhash.classes(documents(spark, sf_dir)).select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its measures, whether its own rules fail, and the verdict with its host's."""
     return quality.judge(documents(spark, sf_dir))
@@ -81,7 +86,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op10_quality_rules": op10_quality_rules}
+    return {"op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op8_simhash": op8_simhash, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

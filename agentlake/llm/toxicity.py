@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample: labelled rows, and the length of a text to be among them.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 10_000
 SAMPLE_CHARS = 20_000
 BITS = 22
 THRESHOLD = 0.7
@@ -56,7 +56,7 @@ def features(text: str) -> np.ndarray:
     pairs = (h[:-1] * _ODD) ^ (h[1:] + _ODD)
     skips = (h[:-2] * _SKIP) ^ (h[2:] + _SKIP)
     mixed = np.concatenate([h, pairs, skips]) * _ODD
-    return (mixed >> np.uint64(64 - BITS)).astype(np.int64)
+    return (mixed >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0) -> Model:
+def train(rows: list[tuple[str, int]], epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
     """FTRL-proximal over the rows in a fixed shuffled order, one example a step."""
     positive = sum(y for _, y in rows)
     if not rows or positive in (0, len(rows)):
