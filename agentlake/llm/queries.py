@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, secret_scan, simhash, toxicity
+from . import bpe, decontam, langid, line_dedup, quality, secret_scan, simhash, toxicity
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,31 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its text without boilerplate lines, and the numbers of lines and of dropped ones."""
+    return line_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce('h' || source, '') AS h, string_split(text, chr(10)) AS ls,
+             ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS sp FROM documents),
+l AS (SELECT DISTINCT rid, h, trim(x, sp) AS line FROM (SELECT rid, h, sp, unnest(ls) AS x FROM d) WHERE trim(x, sp) <> ''),
+t AS (SELECT h, count(*) AS total FROM d GROUP BY h),
+b AS (SELECT l.h, list(line) AS bad FROM (SELECT h, line, count(*) AS pages FROM l GROUP BY h, line) l JOIN t ON l.h = t.h
+      WHERE pages >= 10 AND pages > 0.05 * total GROUP BY l.h),
+k AS (SELECT d.*, CASE WHEN b.bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(b.bad, trim(x, sp))) END AS kept
+      FROM d LEFT JOIN b ON d.h = b.h),
+f AS (SELECT *, len(list_filter(kept, lambda x: trim(x, sp) <> '')) > 0 AS says FROM k)
+SELECT doc_id, CASE WHEN says THEN array_to_string(kept, chr(10)) ELSE text END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
+  CAST(CASE WHEN says THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_dropped FROM f
+"""
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, distance, budget): the benchmark items that each document contains within the error budget."""
+    return decontam.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the counts of the base kinds, the digest of their spans, and all spans."""
     found = secret_scan.scan(documents(spark, sf_dir))
@@ -86,8 +111,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op8_simhash": op8_simhash, "op10_quality_rules": op10_quality_rules}
+    return {"op2_line_dedup": op2_line_dedup, "op9_decontamination": op9_decontamination, "op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op8_simhash": op8_simhash, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op10_quality_rules": OP10_SQL}
