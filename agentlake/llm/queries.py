@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, line_dedup, quality, secret_scan, simhash, toxicity
+from . import bpe, decontam, langid, license_scan, line_dedup, quality, secret_scan, simhash, toxicity, warc
 from .common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, license, containment, first_word, windows) of the license notices in all documents."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page its metadata and conversion records."""
+    made = warc.derivatives(warc.responses(documents(spark, sf_dir, "pages")))
+    return made.drop("record")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the counts of the base kinds, the digest of their spans, and all spans."""
     found = secret_scan.scan(documents(spark, sf_dir))
@@ -111,8 +122,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_line_dedup": op2_line_dedup, "op9_decontamination": op9_decontamination, "op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op8_simhash": op8_simhash, "op10_quality_rules": op10_quality_rules}
+    return {"op3_license_scan": op3_license_scan, "op5_warc_derivatives": op5_warc_derivatives, "op2_line_dedup": op2_line_dedup, "op9_decontamination": op9_decontamination, "op1_toxicity": op1_toxicity, "op6_language_id": op6_language_id, "op4_secret_scan": op4_secret_scan, "op7_bpe_codec": op7_bpe_codec, "op8_simhash": op8_simhash, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_license_scan": op3_license_scan, "op5_warc_derivatives": op5_warc_derivatives, "op2_line_dedup": OP2_SQL, "op10_quality_rules": OP10_SQL}
