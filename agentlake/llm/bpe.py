@@ -342,14 +342,14 @@ def codec(spec: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids and decoded text."""
     spark = docs.sparkSession
     common.ship(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
@@ -365,8 +365,11 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 ]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    columns += [pa.array([np.frombuffer(b, dtype="<u4").astype(np.int32) for b, _ in rows], pa.list_(pa.int32())), pa.array([t for _, t in rows], pa.string())]
-                    names += ["ids", "decoded"]
+                    columns.append(pa.array([np.frombuffer(b, dtype="<i4") for b, _ in rows], pa.list_(pa.int32())))
+                    names.append("ids")
+                if keep_decoded:
+                    columns.append(pa.array([t for _, t in rows], pa.string()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -275,6 +275,29 @@ def predict(docs: DataFrame, langs: list[str], net: Network, id_col: str = "doc_
     return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
+    """The rows, all columns, that have a language: not ``und``, and a pooled probability of ``min_score`` or more.
+
+    If nothing was learned, nothing is rejected.
+    """
+    if not langs:
+        return docs
+    spark = docs.sparkSession
+    common.ship(spark)
+    sent = spark.sparkContext.broadcast((langs, net.p))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _labeller(*sent.value)
+        for batch in batches:
+            keep: list[bool] = []
+            for _, texts in common.text_blocks([None] * batch.num_rows, batch.column(at).to_pylist()):
+                keep += [lang != UNKNOWN and score >= min_score for lang, score in own.label(texts)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network]:
     counts = sample(docs, id_col, text_col, lang_col)
     return train(counts) if counts else ([], Network.fresh(1))

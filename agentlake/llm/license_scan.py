@@ -55,6 +55,13 @@ TEMPLATES = {
     "CC-BY-4.0": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ],
+    "Proprietary": [
+        "All rights reserved.",
+    ],
     "Unlicense": [
         "This is free and unencumbered software released into the public domain.",
     ],

@@ -64,15 +64,16 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id and ``fp``, the fingerprint as a signed long."""
+    """One row per document: id, ``fp``, the fingerprint as a signed long, and ``h``, a hash of the text."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(t or "") for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=[id_col, "fp"])
+            out = np.array([fingerprint(t or "") for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.view(np.int64))], names=[id_col, "h", "fp"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, F.xxhash64(text_col).alias("h"), text_col).mapInArrow(run, f"`{id_col}` {kind}, h long, fp long")
 
 
 def _masks() -> list[int]:
@@ -206,16 +207,26 @@ def components(edges_: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, fp and component_id, the smallest id that its fingerprint's links reach."""
+    """One row per document: id, h, fp, root (the class) and component_id, the smallest id that its fingerprint's links reach."""
     found = common.materialize(fingerprints(docs, id_col, text_col))
-    nodes = found.groupBy("fp").agg(F.min(id_col).alias("least"))
-    nodes = common.materialize(nodes)
+    nodes = common.materialize(found.groupBy("fp").agg(F.min(id_col).alias("least")))
     roots = components(edges(nodes))
     placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = placed.where("root <> fp").select("fp", "root").join(named, "root").select("fp", "component_id")
-    alone = placed.where("root = fp").select("fp").join(named.withColumnRenamed("root", "fp"), "fp")
-    return found.join(member.unionByName(alone), "fp")
+    return found.join(placed.select("fp", "root").join(named, "root"), "fp")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns of one row of each class: the one with the smallest id (null last)."""
+    found = common.materialize(classes(docs, id_col, text_col).select(id_col, "h", "root"))
+    first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("h"))
+    keep = found.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
+    # texts move once, to the partition of their id, against ids and hashes in a hash table
+    out = docs.withColumn("_t", F.xxhash64(text_col))
+    out = out.join(keep.distinct().hint("shuffle_hash"), out[id_col].eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h")), "left_semi")
+    if found.groupBy(id_col, "h").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates([id_col, "_t"])  # repeated rows
+    return out.select(*docs.columns)
 
 
 def hex16(fp: Column) -> Column:
