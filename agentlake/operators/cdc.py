@@ -147,3 +147,9 @@ def precision_report(events: DataFrame, json_col: str, columns: list[str]) -> Da
         F.count_if(number).alias("numbers"),
         F.count_if(number & F.coalesce(back, F.lit(False))).alias("lossy"),
     )
+
+
+def encoded_struct(name: str, columns: dict[str, str]) -> Column:
+    """The same for the fields of a struct column."""
+    value = lambda c, t: F.col(f"{name}.{c}").cast("string") if t.lower().split("(")[0] in AS_TEXT else F.col(f"{name}.{c}")
+    return F.to_json(F.struct(*(value(c, t).alias(c) for c, t in columns.items())), {"ignoreNullFields": "false"})
