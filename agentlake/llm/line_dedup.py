@@ -63,27 +63,27 @@ def dedup(docs: DataFrame, text_col: str = "text", host_col: str = "source", rat
 
 
 def _by_broadcast(docs: DataFrame, found: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    bad = found.groupBy(F.col("h").alias("_h")).agg(F.collect_list("l").alias("_bad"))
-    joined = docs.withColumn("_h", _host(host_col)).join(F.broadcast(bad), "_h", "left")
+    bad = found.groupBy(F.col("h").alias("__al_h")).agg(F.collect_list("l").alias("__al_bad"))
+    joined = docs.withColumn("__al_h", _host(host_col)).join(F.broadcast(bad), "__al_h", "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("_bad"), _key(x)))
-    kept = F.when(F.col("_bad").isNull(), lines).otherwise(kept)
-    return _columns(docs, joined.withColumn("_lines", lines).withColumn("_kept", kept), text_col)
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col("__al_bad"), _key(x)))
+    kept = F.when(F.col("__al_bad").isNull(), lines).otherwise(kept)
+    return _columns(docs, joined.withColumn("__al_lines", lines).withColumn("__al_kept", kept), text_col)
 
 
 def _columns(docs: DataFrame, joined: DataFrame, text_col: str) -> DataFrame:
-    text, dropped = _finish(F.col("_lines"), F.col("_kept"))
+    text, dropped = _finish(F.col("__al_lines"), F.col("__al_kept"))
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     null = F.col(text_col).isNull()
     columns = [F.when(~null, F.array_join(text, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*columns, count(F.when(~null, F.size("_lines"))).alias("n_lines"), count(F.when(~null, dropped)).alias("n_dropped"))
+    return joined.select(*columns, count(F.when(~null, F.size("__al_lines"))).alias("n_lines"), count(F.when(~null, dropped)).alias("n_dropped"))
 
 
 def _by_shuffle(docs: DataFrame, found: DataFrame, text_col: str, host_col: str) -> DataFrame:
     """For any number of boilerplate lines: pages' line keys meet them by a shuffle, then the places return to the pages."""
-    rows = materialize(docs.withColumn("_row", F.expr("uuid()")).withColumn("_h", _host(host_col)))
-    keys = rows.select("_row", F.col("_h").alias("h"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), _key)).alias("_i", "l"))
-    drop = keys.join(found, ["h", "l"], "left_semi").groupBy("_row").agg(F.collect_list("_i").alias("_drop"))
-    joined = rows.join(drop, "_row", "left").withColumn("_lines", F.split(F.col(text_col), "\n"))
-    kept = F.filter("_lines", lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    return _columns(docs, joined.withColumn("_kept", F.when(F.col("_drop").isNull(), F.col("_lines")).otherwise(kept)), text_col)
+    rows = materialize(docs.withColumn("__al_row", F.expr("uuid()")).withColumn("__al_h", _host(host_col)))
+    keys = rows.select("__al_row", F.col("__al_h").alias("h"), F.posexplode(F.transform(F.split(F.col(text_col), "\n"), _key)).alias("__al_i", "l"))
+    drop = keys.join(found, ["h", "l"], "left_semi").groupBy("__al_row").agg(F.collect_list("__al_i").alias("__al_drop"))
+    joined = rows.join(drop, "__al_row", "left").withColumn("__al_lines", F.split(F.col(text_col), "\n"))
+    kept = F.filter("__al_lines", lambda x, i: ~F.array_contains(F.col("__al_drop"), i))
+    return _columns(docs, joined.withColumn("__al_kept", F.when(F.col("__al_drop").isNull(), F.col("__al_lines")).otherwise(kept)), text_col)

@@ -220,12 +220,12 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The input's columns of one row of each class: the one with the smallest id (null last)."""
     found = common.materialize(classes(docs, id_col, text_col).select(id_col, "h", "root"))
     first = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("h"))
-    keep = found.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.i").alias("_i"), F.col("k.h").alias("_h"))
+    keep = found.groupBy("root").agg(F.min(first).alias("k")).select(F.col("k.i").alias("__al_i"), F.col("k.h").alias("__al_h"))
     # texts move once, to the partition of their id, against ids and hashes in a hash table
-    out = docs.withColumn("_t", F.xxhash64(text_col))
-    out = out.join(keep.distinct().hint("shuffle_hash"), out[id_col].eqNullSafe(F.col("_i")) & (F.col("_t") == F.col("_h")), "left_semi")
+    out = docs.withColumn("__al_t", F.xxhash64(text_col))
+    out = out.join(keep.distinct().hint("shuffle_hash"), out[id_col].eqNullSafe(F.col("__al_i")) & (F.col("__al_t") == F.col("__al_h")), "left_semi")
     if found.groupBy(id_col, "h").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col, "_t"])  # repeated rows
+        out = out.dropDuplicates([id_col, "__al_t"])  # repeated rows
     return out.select(*docs.columns)
 
 
