@@ -35,20 +35,33 @@ def _fold(kind: Column, value: Column, op: Column, b: Column) -> Column:
 
 
 def fold_sides(ops: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, col, side, kind, v, txn, seq): each side's net operation on each cell, in (txn, seq, pos) order.
+    """(key, col, side, kind, v, txn, seq, b): each side's net operation on each cell, in (txn, seq, pos) order.
 
-    Cells on which a side only adds are summed without sorting; the fold sees the others.
+    A side that did one kind of operation on a cell is reduced by a partial aggregate (a sum,
+    a bound, or the last Assign), so a hot counter is a few numbers a task.  Only mixed
+    cells are folded in order, from their last Assign on.
     """
     kind = ops.schema["v"].dataType.simpleString()
+    cell = ["key", "col", "side"]
     cells = ops.where("col is not null")
-    grouped = cells.groupBy("key", "col", "side").agg(
-        F.array_sort(F.collect_list(F.struct("txn", "seq", "pos", "kind", "v"))).alias("ops"),
-        F.max(F.struct("txn", "seq")).alias("last"),
-    )
+    at = F.struct("txn", "seq", "pos")
+    stats = cells.groupBy(*cell).agg(
+        F.min("kind").alias("k0"), F.max("kind").alias("k1"), F.sum("v").cast(kind).alias("total"), F.max("v").alias("most"), F.min("v").alias("least"),
+        F.max_by("v", at).alias("last_v"), F.max(F.struct("txn", "seq")).alias("last"), F.max(F.when(F.col("kind") == "Assign", at)).alias("reset"),
+    )
+    k = F.col("k0")
+    same = F.when(k == "Add", F.col("total")).when(k == "Max", F.col("most")).when(k == "Min", F.col("least")).otherwise(F.col("last_v"))
+    plain = stats.where("k0 = k1").select(*cell, F.col("k0").alias("kind"), same.alias("v"), "last").join(base.select("key", "col", "b"), ["key", "col"], "left")
+
+    mixed = stats.where("k0 <> k1").select(*cell, "reset", "last")
+    tail = cells.join(mixed, cell).where(F.col("reset").isNull() | (at >= F.col("reset")))
+    lists = tail.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("txn", "seq", "pos", "kind", "v"))).alias("ops"), F.max("last").alias("last"))
     start = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast(kind).alias("v"))
-    joined = grouped.join(base.select("key", "col", "b"), ["key", "col"], "left")
+    joined = lists.join(base.select("key", "col", "b"), ["key", "col"], "left")
     net = F.aggregate("ops", start, lambda acc, op: _fold(acc["kind"], acc["v"], op, F.col("b")))
-    return joined.withColumn("net", net).select("key", "col", "side", "net.kind", "net.v", "last.txn", "last.seq", "b")
+    folded = joined.withColumn("net", net).select(*cell, F.col("net.kind").alias("kind"), F.col("net.v").alias("v"), "last", "b")
+    out = plain.select(*cell, "kind", "v", "last", "b").unionByName(folded)
+    return out.select("key", "col", "side", "kind", "v", "last.txn", "last.seq", "b")
 
 
 def net_value(kind: Column, v: Column, b: Column) -> Column:

@@ -32,12 +32,38 @@ def dependency_edges(writes: DataFrame, reads: DataFrame, ranges: DataFrame | No
     w = writes.select(F.col("txn").alias("writer"), "key", "version")
     edges = w.join(reads.select(F.col("txn").alias("reader"), "key", "version"), ["key", "version"]).select("writer", "reader")
     if ranges is not None:
-        v = writes.select(F.col("txn").alias("writer"), F.col("tbl").alias("wt"), "value", "ts")
-        hit = (F.col("wt") == F.col("tbl")) & (F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")) & (F.col("ts") < F.col("observed_at"))
-        edges = edges.unionByName(v.join(ranges.withColumnRenamed("txn", "reader"), hit).select("writer", "reader"))
+        points = writes.select(F.col("txn").alias("writer"), "tbl", "value", "ts")
+        hits = range_join(points, ranges.withColumnRenamed("txn", "reader"), "value", "lo", "hi", ["tbl"])
+        edges = edges.unionByName(hits.where("ts < observed_at").select("writer", "reader"))
     return edges.where("writer <> reader").distinct()
 
 
+def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, on: list[str]) -> DataFrame:
+    """Pairs with low <= value < high and equal ``on`` columns, by an equi-join on bins instead of comparing all pairs.
+
+    A range belongs to the level of the power of two that is not less than its width, and so
+    meets three bins of that level at most; a point looks in its one bin of each level that
+    some range has.  Null bounds are open.
+    """
+    most = 1.7e308
+    lo = F.greatest(F.coalesce(F.col(low).cast("double"), F.lit(-most)), F.lit(-most))
+    hi = F.least(F.coalesce(F.col(high).cast("double"), F.lit(most)), F.lit(most))
+    level = F.when(hi - lo < most, F.ceil(F.log2(F.greatest(hi - lo, F.lit(1e-9))))).otherwise(F.lit(1023)).cast("int")
+    sized = ranges.withColumn("_lo", lo).withColumn("_hi", hi).where("_lo < _hi").withColumn("_level", level)
+    levels = [r[0] for r in sized.select("_level").distinct().collect()]  # exponents of doubles: at most some hundreds
+    if not levels:
+        return points.join(ranges.drop(*on), F.lit(False), "inner")
+    # bins are whole doubles, far from exact beyond 2**53 bins, but equal for equal quotients
+    cut = lambda x, k: F.floor(F.greatest(F.least(x / F.pow(F.lit(2.0), k), F.lit(9e18)), F.lit(-9e18)))
+    first, last = cut(F.col("_lo"), F.col("_level")), cut(F.col("_hi"), F.col("_level"))
+    binned = sized.withColumn("_bin", F.explode(F.sequence(first, last))).drop("_lo", "_hi")
+    spots = F.array(*(F.struct(F.lit(k).alias("_level"), cut(F.col(value).cast("double"), F.lit(float(k))).alias("_bin")) for k in levels))
+    placed = points.withColumn("_s", F.explode(spots)).select(*points.columns, "_s._level", "_s._bin")
+    joined = placed.join(binned, [*on, "_level", "_bin"])
+    inside = (F.col(low).isNull() | (F.col(value) >= F.col(low))) & (F.col(high).isNull() | (F.col(value) < F.col(high)))
+    return joined.where(inside).drop("_level", "_bin")
+
+
 def dependents(edges: DataFrame, roots: DataFrame, materialize=None, most_rounds: int = 1000) -> DataFrame:
     """(root, txn): everything that transitively read from each root; cycles end by the anti-join.
 

@@ -136,6 +136,20 @@ def test_closure_ends_on_cycles(spark):
     assert sorted(r["txn"] for r in out.collect()) == [2, 3, 4]
 
 
+def test_range_join_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(1)
+    points = [(k, "t" if k % 3 else "u", rng.choice([rng.uniform(-50, 50), float(rng.randint(-9, 9)), 1e12])) for k in range(80)]
+    ranges = []
+    for k in range(60):
+        lo = rng.choice([None, rng.uniform(-60, 60), float(rng.randint(-9, 9))])
+        ranges.append((k, "t" if k % 2 else "u", lo, rng.choice([None, (lo or 0.0) + rng.choice([0.0, 0.001, 1.0, 16.0, 1000.0])])))
+    got = provenance.range_join(spark.createDataFrame(points, "p int, tbl string, v double"), spark.createDataFrame(ranges, "r int, tbl string, lo double, hi double"), "v", "lo", "hi", ["tbl"])
+    want = sorted((p, r) for p, a, v in points for r, b, lo, hi in ranges if a == b and (lo is None or v >= lo) and (hi is None or v < hi))
+    assert sorted((r["p"], r["r"]) for r in got.collect()) == want
+
+
 def test_visibility(spark):
     v = spark.createDataFrame([("a", 1, 5, "old"), ("a", 5, 0, "new"), ("b", 2, 3, "gone"), ("c", 9, 0, "later")], "k string, begin_ts long, end_ts long, v string")
     assert {r["k"]: r["v"] for r in mvcc.resolve(v, "k", 8, []).collect()} == {"a": "new"}
