@@ -68,18 +68,31 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[str, int]], epochs: int = 8, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1) -> Model:
-    """FTRL-proximal over the rows in a fixed shuffled order, one example a step."""
+def train(rows: list[tuple[str, int]], epochs: int = 8, l1: float = 8.0) -> Model:
+    """FTRL-proximal with L1 selects features, and once more without L1 on those alone undoes its shrinkage."""
     positive = sum(y for _, y in rows)
     if not rows or positive in (0, len(rows)):
         share = min(max(positive / len(rows), 1e-6), 1 - 1e-6) if rows else 0.5
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    size = (1 << BITS) + 1  # the last is the bias, without penalty
+    bias = 1 << BITS  # the last feature, without penalty
+    examples = [(np.append(np.unique(features(t)), bias), float(y)) for t, y in rows]
+    w = _ftrl(examples, bias + 1, epochs, alpha=2.0, l1=l1, l2=0.1)
+    w[bias] = 0.0
+    index = np.flatnonzero(w)
+    place = np.full(bias + 1, -1, dtype=np.int64)
+    place[index] = np.arange(len(index))
+    place[bias] = len(index)
+    few = [(kept[kept >= 0], y) for i, y in examples for kept in (place[i],)]
+    w = _ftrl(few, len(index) + 1, 4 * epochs, alpha=8.0, l1=0.0, l2=0.0)
+    return Model(index, w[:-1], float(w[-1]))
+
+
+def _ftrl(examples: list[tuple[np.ndarray, float]], size: int, epochs: int, alpha: float, l1: float, l2: float, beta: float = 1.0) -> np.ndarray:
+    """Weights after passes over the examples in a fixed shuffled order, one a step; the last feature has no L1."""
     z, n = np.zeros(size), np.zeros(size)
-    examples = [(np.append(np.unique(features(t)), size - 1), float(y)) for t, y in rows]
     rng = np.random.default_rng(_SEED)
 
-    def weights(zi: np.ndarray, ni: np.ndarray, penalty: np.ndarray | float) -> np.ndarray:
+    def weights(zi: np.ndarray, ni: np.ndarray, penalty: np.ndarray) -> np.ndarray:
         w = -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(ni)) / alpha + l2)
         return np.where(np.abs(zi) <= penalty, 0.0, w)
 
@@ -90,14 +103,11 @@ def train(rows: list[tuple[str, int]], epochs: int = 8, alpha: float = 2.0, beta
             penalty[-1] = 0.0
             zi, ni = z[i], n[i]
             w = weights(zi, ni, penalty)
-            p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-            g = p - y
+            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
             sigma = (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha
             z[i] = zi + g - sigma * w
             n[i] = ni + g * g
-    w = weights(z, n, np.append(np.full(size - 1, l1), 0.0))
-    index = np.flatnonzero(w[:-1])
-    return Model(index, w[index], float(w[-1]))
+    return weights(z, n, np.append(np.full(size - 1, l1), 0.0))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
