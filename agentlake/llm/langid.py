@@ -275,10 +275,10 @@ def predict(docs: DataFrame, langs: list[str], net: Network, id_col: str = "doc_
     return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
 
 
-def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text", min_score: float = 0.35) -> DataFrame:
-    """The rows, all columns, that have a language: not ``und``, and a pooled probability of ``min_score`` or more.
+def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text", min_lift: float = 1.1) -> DataFrame:
+    """The rows, all columns, that have a language: not ``und``, and a pooled probability of ``min_lift`` times chance.
 
-    If nothing was learned, nothing is rejected.
+    If nothing or only one language was learned, probabilities reject nothing; without any, nothing is rejected.
     """
     if not langs:
         return docs
@@ -286,6 +286,7 @@ def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "tex
     common.ship(spark)
     sent = spark.sparkContext.broadcast((langs, net.p))
     at = docs.columns.index(text_col)
+    min_score = min_lift / len(langs) if len(langs) > 1 else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _labeller(*sent.value)
