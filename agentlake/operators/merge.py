@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from agentlake.errors import MergeError
+
 OURS, THEIRS = "ours", "theirs"
 REJECT, LWW, MULTI, ADDITIVE = "reject", "lww", "multivalue", "additive"
 CLEAN, COMMUTING, LOSS, CONFLICT = "Clean", "Commuting", "ResolvedWithLoss", "Conflict"
@@ -177,3 +179,30 @@ def inverse_ops(ops: DataFrame) -> DataFrame:
     k = F.col("kind")
     kind = F.when(k.isin("Add", "Assign"), k).when(k == "RowCreate", "RowDelete").when(k == "RowDelete", "RowCreate")
     return ops.withColumn("v", F.when(k == "Add", -F.col("v")).when(k.isin("Assign", "RowDelete"), F.col("witness"))).withColumn("kind", kind)
+
+
+def schema_conflicts(frames: DataFrame) -> DataFrame:
+    """(tbl, versions) of tables whose frames were written under different schema versions; such a merge is a conflict."""
+    return frames.groupBy("tbl").agg(F.array_sort(F.collect_set("schema_ver")).alias("versions")).where(F.size("versions") > 1)
+
+
+def bound_breaks(cells: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Composed cells whose value is below the floor or above the ceiling; null bounds are open.  ``bounds`` (key, col, floor, ceiling)."""
+    joined = cells.join(bounds, ["key", "col"])
+    return joined.where((F.col("value") < F.col("floor")) | (F.col("value") > F.col("ceiling")))
+
+
+def append_frames(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The log with new frames: what it has already is a no-op, a longer history extends it, anything else is refused.
+
+    Both have (txn, seq, content); the result is the union with each frame once.
+    """
+    key = ["txn", "seq"]
+    old = log.select(*key, F.xxhash64("content").alias("_old"))
+    differing = new.select(*key, F.xxhash64("content").alias("_new")).join(old, key).where("_old <> _new")
+    last = lambda df, name: df.groupBy("txn").agg(F.max("seq").alias(name))
+    shorter = last(new, "n").join(last(log, "o"), "txn").where("n < o")
+    bad = [r[0] for r in differing.select("txn").unionByName(shorter.select("txn")).distinct().limit(5).collect()]
+    if bad:
+        raise MergeError(f"transactions {bad} contradict the log; append only what extends it")
+    return log.unionByName(new.join(old.select(*key), key, "left_anti").select(*log.columns))

@@ -368,6 +368,20 @@ def merge_overall_outcome(spark, d):
     return _cells(spark, d, ("Assign", "Assign"), merge.LWW).agg(merge.overall().alias("outcome"))
 
 
+@query("""SELECT event_type AS tbl, CAST(count(DISTINCT user_id % 3) AS BIGINT) AS n FROM events WHERE user_id % 3 = 0 OR event_type = 'click' GROUP BY event_type HAVING count(DISTINCT user_id % 3) > 1""")
+def merge_schema_mismatch(spark, d):
+    frames = table(spark, d, "events").select(F.col("event_type").alias("tbl"), (F.col("user_id") % 3).alias("schema_ver")).where("schema_ver = 0 or tbl = 'click'")
+    return merge.schema_conflicts(frames).select("tbl", F.size("versions").cast("bigint").alias("n"))
+
+
+@query(f"WITH {_AB} SELECT key, CASE WHEN o AND t THEN b + ov + tv WHEN o THEN b + ov ELSE b + tv END AS value FROM x WHERE CASE WHEN o AND t THEN b + ov + tv WHEN o THEN b + ov ELSE b + tv END > 60")
+def merge_bound_recheck(spark, d):
+    base, ops = _cell_ops(spark, d, ("Add", "Add"))
+    cells, _ = merge.three_way_merge(base, ops)
+    bounds = base.select("key", "col", F.lit(0).cast("bigint").alias("floor"), F.lit(60).cast("bigint").alias("ceiling"))
+    return merge.bound_breaks(cells, bounds).select("key", "value")
+
+
 @query("""WITH base AS (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS b FROM part)
 SELECT key, CAST(1 AS INTEGER) AS txn, b >= 12 AS ok, CASE WHEN b >= 12 THEN b - 12 ELSE b END AS value FROM base
 UNION ALL SELECT key, 2, (CASE WHEN b >= 12 THEN b - 12 ELSE b END) >= 12, CASE WHEN b >= 24 THEN b - 24 WHEN b >= 12 THEN b - 12 ELSE b END FROM base""")

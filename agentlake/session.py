@@ -143,6 +143,25 @@ class Engine:
                         self.store.delete(p.path)
         return [b.name for b in gone]
 
+    def collapse(self, b: Branch) -> None:
+        """Rewrite a branch's own overlay parts as one, the latest image of each row with all that led to it."""
+        for table in self.touched(b):
+            m = self.store.manifest(table, b.fork)
+            own = self.own_parts(b, table)
+            if len(own) < 2:
+                continue
+            delta = self._delta(m, own)
+            guards = delta.where("_guard <> ''").groupBy("_guard").count().limit(2).count()
+            if guards > 1:  # conditions are per statement: parts of one condition each stay apart
+                continue
+            names = [f.name for f in m.fields[1:]]
+            last = delta.groupBy(m.key).agg(F.max_by(F.struct(*names, "_deleted", "_seq"), F.col("_seq")).alias("l"), F.max("_guard").alias("_guard"), *(F.max(F.col("_kinds")[n]).alias(f"k_{i}") for i, n in enumerate(names)))
+            pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"k_{i}").alias("k")) for i, n in enumerate(names))), lambda x: x["k"].isNotNull())
+            out = last.select(m.key, *(F.col(f"l.{c}").alias(c) for c in (*names, "_deleted", "_seq")), F.map_from_entries(pairs).alias("_kinds"), "_guard")
+            parts = self.store.write_part(f"overlays/{b.name}/{table}", out.select(*m.names, *_HIDDEN), m.key)
+            b.deltas[table] = b.deltas[table][: b.inherited.get(table, 0)] + parts
+        self.save(b)
+
     def view(self, table: str, b: Branch | None = None, at: int | None = None, upto: dict[str, int] | None = None) -> DataFrame:
         """A table on the trunk (at a commit) or on a branch (up to some of its overlay parts)."""
         if b is None:

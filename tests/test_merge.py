@@ -1,9 +1,11 @@
 """Laws of the merge, checked against a plain fold in Python, and single operators on edge values."""
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from agentlake.errors import MergeError
 from agentlake.functions import scalar
 from agentlake.operators import escrow, gate, merge, mvcc, overlay, provenance
 
@@ -176,3 +178,14 @@ def test_runs_are_interned():
     except provenance.ProvenanceError:
         pass
     assert runs.describe(0) == "unattributed" and "run r" in runs.describe(1)
+
+
+def test_effect_log_append(spark):
+    frame = "txn long, seq long, content string"
+    log = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], frame)
+    assert merge.append_frames(log, log).count() == 2
+    longer = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "x")], frame)
+    assert merge.append_frames(log, longer).count() == 4
+    for bad in ([(1, 1, "z"), (1, 2, "b")], [(1, 1, "a")]):
+        with pytest.raises(MergeError, match="contradict"):
+            merge.append_frames(log, spark.createDataFrame(bad, frame))

@@ -187,3 +187,12 @@ def test_engine_reopens(engine, spark):
     again = Engine(spark, engine.store.root)
     assert rows(again.connect(), f"SELECT qty FROM inventory AS OF BRANCH {a.branch.name} WHERE id = 1") == [(1,)]
     assert again.connect().execute(f"MERGE BRANCH {a.branch.name}").report["published"]
+
+
+def test_collapse_keeps_the_view_and_the_merge(engine):
+    a = agent(engine, "a", "UPDATE inventory SET qty = qty - 5 WHERE id = 1", "UPDATE inventory SET qty = qty - 1 WHERE id = 1", "INSERT INTO inventory VALUES (5, 5)")
+    engine.connect().execute("INSERT INTO inventory VALUES (8, 8)")
+    engine.collapse(a.branch)
+    assert rows(a, "SELECT * FROM inventory") == [(1, 14), (2, 7), (5, 5)]
+    assert a.execute("MERGE").report["published"]
+    assert rows(engine.connect(), "SELECT * FROM inventory") == [(1, 14), (2, 7), (5, 5), (8, 8)]
