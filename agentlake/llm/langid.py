@@ -185,15 +185,16 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[s
     """Word counts of each language over about SAMPLE_ROWS rows of it outside the held-out part."""
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     rows = rows.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & ~common.held_out("_i"))
-    rows = rows.where(F.length("_t") <= SAMPLE_CHARS)
+    rows = rows.where(F.col("_i").isNotNull() & (F.length("_t") <= SAMPLE_CHARS))
     sizes = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
     # a uniform number from the id decides; each language has its own share
-    u = F.pmod(F.xxhash64(F.col("_i"), F.lit(_SEED)), F.lit(1_000_000)) / 1_000_000
-    share = F.element_at(F.create_map(*(F.lit(x) for l, n in sorted(sizes.items()) for x in (l, min(1.0, SAMPLE_ROWS / n)))), F.col("_l"))
+    u = F.pmod(F.xxhash64(F.col("_i"), F.col("_t"), F.lit(_SEED)), F.lit(1_000_000)) / 1_000_000
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, SAMPLE_ROWS / n)))), F.col("_l"))
     out: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    for r in rows.where(u < share).select("_t", "_l").toPandas().itertuples(index=False):
+    chosen = rows.where(u < share).select("_t", "_l").limit(4 * SAMPLE_ROWS * len(sizes))  # a row repeated without end
+    for r in chosen.toPandas().itertuples(index=False):
         out[r[1]].update(_WORD.findall(r[0].lower()))
     return {lang: c for lang, c in out.items() if c}
 
