@@ -153,3 +153,16 @@ def encoded_struct(name: str, columns: dict[str, str]) -> Column:
     """The same for the fields of a struct column."""
     value = lambda c, t: F.col(f"{name}.{c}").cast("string") if t.lower().split("(")[0] in AS_TEXT else F.col(f"{name}.{c}")
     return F.to_json(F.struct(*(value(c, t).alias(c) for c, t in columns.items())), {"ignoreNullFields": "false"})
+
+
+def with_schema(events: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Each event with the declaration that held at its LSN: the last one of its table at or before it.
+
+    ``declarations`` (tbl, lsn, columns) are few a table; they become LSN ranges and meet
+    the events by bins, so that a hot table is not sorted in one task.
+    """
+    from agentlake.operators.provenance import range_join
+
+    until = F.lead("lsn").over(Window.partitionBy("tbl").orderBy("lsn"))
+    spans = declarations.select("tbl", F.col("columns"), F.col("lsn").cast("double").alias("_from"), until.cast("double").alias("_until"))
+    return range_join(events, spans, "lsn", "_from", "_until", ["tbl"]).drop("_from", "_until")

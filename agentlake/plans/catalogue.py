@@ -603,3 +603,11 @@ def cdc_cursor_filter(spark, d):
     feed = cdc.decode(*_changes(spark, d))
     cursors = spark.range(1).select(F.lit("t").alias("tbl"), F.lit(1_000_300).cast("bigint").alias("c_commit"), F.lit(298).cast("bigint").alias("c_lsn"))
     return cdc.beyond_cursor(feed, cursors).select("lsn")
+
+
+@query("""WITH d AS (SELECT event_type AS tbl, event_id AS lsn, 'v' || CAST(event_id AS VARCHAR) AS columns FROM events WHERE event_id % 100 = 0)
+SELECT e.event_id AS lsn, max_by(d.columns, d.lsn) AS columns FROM events e JOIN d ON d.tbl = e.event_type AND d.lsn <= e.event_id GROUP BY e.event_id""")
+def cdc_schema_as_of(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("tbl"), F.col("event_id").alias("lsn"))
+    ddl = e.where("lsn % 100 = 0").select("tbl", "lsn", F.concat(F.lit("v"), F.col("lsn").cast("string")).alias("columns"))
+    return cdc.with_schema(e, ddl).select("lsn", "columns")

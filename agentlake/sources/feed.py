@@ -77,3 +77,9 @@ def dump(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     from agentlake.operators.cdc import encoded
 
     return rows.select(encoded(columns).alias("value"))
+
+
+def follow(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Events from a TCP feed as a stream; the socket source has no replay, so use files where a cursor must survive."""
+    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+    return events_of(lines).where("_corrupt is null").drop("_corrupt")
