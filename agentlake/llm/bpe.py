@@ -35,7 +35,7 @@ CACHE_CHUNKS = 200_000
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 64
 #: Unicode White_Space, which is what the vocabulary's normalizer collapses.
-_SPACE = re.compile("[\t-\r\x20\x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _NEVER = np.int64(1) << 40
 

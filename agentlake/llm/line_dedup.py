@@ -11,7 +11,8 @@ they are sent to all tasks, beyond that pages and lines meet by a shuffle.
 Defined results: blank lines are kept and not counted; a page with no line left would lose
 all that it says, so it is kept unchanged (whole copies are left to near-dedup); a null
 text stays null with 0 lines; pages with a null host are one site of their own; repeated
-rows count as pages; further columns are kept; an empty table gives an empty result.
+rows count as pages; further columns are kept, but for ``n_lines`` and ``n_dropped``, which
+are the result's own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
