@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Chunks kept with their ids by each Python worker; when full, the cache starts anew.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 150_000
 #: Longer words are merged one by one with a heap.
 LONG_WORD = 64
 #: Unicode White_Space, which is what the vocabulary's normalizer collapses.
@@ -260,7 +260,7 @@ class Codec:
             if len(new):
                 fits = self._first_crossing(pair[new] // self.n, pair[new] % self.n) == _NEVER
                 known[new] = fits
-                if len(self.pairs) > 4 * CACHE_CHUNKS:
+                if len(self.pairs) > 2 * CACHE_CHUNKS:
                     self.pairs.clear()
                 self.pairs.update(zip(pair[new].tolist(), fits.tolist(), strict=True))
             good[owner[inner[known[back] == 0]]] = False
@@ -330,16 +330,9 @@ def _lowered(chunk: str) -> str:
     return chunk.lower()
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(spec: str) -> Codec:
     """The worker's codec of this specification, with what it has cached so far."""
-    key = hashlib.sha256(spec.encode()).digest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+    return common.resident(("bpe", hashlib.sha256(spec.encode()).digest()), lambda: Codec(spec))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, keep_decoded: bool = False) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import io
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: Python operators work on blocks of about this many characters, so that a worker's
 #: memory follows the block (or one long document), not the Arrow batch.
 BLOCK_CHARS = 1 << 20
@@ -70,5 +73,20 @@ def text_blocks(ids: list, texts: list, limit: int = BLOCK_CHARS) -> Iterator[tu
         yield a, b
 
 
+_resident: dict[tuple, object] = {}
+
+
+def resident(key: tuple, build: Callable[[], T]) -> T:
+    """State that a Python worker keeps between tasks, such as a vocabulary with its cache.
+
+    A worker serves one operator after another and has the memory of one: only the last
+    key's state stays.
+    """
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = build()
+    return _resident[key]
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

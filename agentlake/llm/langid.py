@@ -34,7 +34,7 @@ HIDDEN = 16
 WORD_BYTES = 48
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 150_000
 _SEED = 7
 
 
@@ -244,15 +244,9 @@ class Labeller:
         return out
 
 
-_labellers: dict[bytes, Labeller] = {}
-
-
 def _labeller(langs: list[str], params: dict[str, np.ndarray]) -> Labeller:
     key = b"".join(params[k].tobytes() for k in sorted(params)) + repr(langs).encode()
-    if key not in _labellers:
-        _labellers.clear()
-        _labellers[key] = Labeller(langs, Network(params))
-    return _labellers[key]
+    return common.resident(("langid", key), lambda: Labeller(langs, Network(params)))
 
 
 def predict(docs: DataFrame, langs: list[str], net: Network, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -222,9 +222,6 @@ class Scanner:
         return [sorted(x) for x in out]
 
 
-_scanners: dict[tuple, Scanner] = {}
-
-
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id and ``found``, an array of (kind, start, end) by start, then rule order."""
     common.ship(docs.sparkSession)
@@ -232,7 +229,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanners[rules] if rules in _scanners else _scanners.setdefault(rules, Scanner(rules))
+        scanner = common.resident(("secrets", rules), lambda: Scanner(rules))
         for batch in batches:
             kept = batch.schema.field(0).type
             for keys, texts in common.text_blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
