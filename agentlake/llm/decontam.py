@@ -2,11 +2,17 @@
 
 Texts are compared as lower-cased runs of letters and digits joined by single spaces.  A
 passage matches an item if its edit distance to the item's whole text is at most the
-item's error budget, a share of its length.  The item is split into budget + 1 pieces:
-at most ``budget`` edits cannot touch all of them, so every match contains a piece
+item's error budget, ERRORS of its length rounded down.  The item is split into budget + 1
+pieces: at most ``budget`` edits cannot touch all of them, so every match contains a piece
 unchanged.  All pieces are found in one pass over each text with an Aho-Corasick
-automaton; around each hit the item's whole pattern is verified with Myers' bit-parallel
-approximate matching.
+automaton.
+
+The pieces are short (8 to 10 characters), so most hits are chance.  They are the leaves of
+a binary tree whose nodes have a budget each, children's budgets + 1 together: a match
+within a node's budget is within the budget of one of its children, and so there is a leaf
+hit above which every node matches.  From each hit the nodes are tried upwards, and chance
+hits mostly end at the first; only around those that reach the root is the item's whole
+pattern verified with Myers' bit-parallel approximate matching.
 
 The items go to the workers in blocks of BLOCK_CHARS characters, each with a pass over
 the documents of its own, so the automaton's size is bounded whatever the benchmark's.
@@ -34,8 +40,6 @@ from . import common
 #: Edits a character of the item.
 ERRORS = 0.1
 MIN_CHARS = 40
-#: Pieces shorter than this would hit by chance everywhere; the budget is held to what allows them.
-PIECE_CHARS = 12
 BLOCK_CHARS = 4_000_000
 _GAP = re.compile(r"[\W_]+")
 
@@ -45,14 +49,50 @@ def normal(text: str) -> str:
 
 
 def budget(pattern: str) -> int:
-    return max(0, min(int(ERRORS * len(pattern)), len(pattern) // PIECE_CHARS - 1))
+    return int(ERRORS * len(pattern))
+
+
+def halves(lo: int, hi: int, most: int) -> list[tuple[int, int, int]]:
+    """The children (begin, end, budget) of a node of budget 1 at least; their budgets and 1 make its own."""
+    left = (most + 2) // 2
+    cut = lo + (hi - lo) * left // (most + 1)
+    return [(lo, cut, left - 1), (cut, hi, most - left)]
+
 
+def pieces(pattern: str) -> list[tuple[int, str, tuple[int, int, int] | None]]:
+    """(offset, piece, parent): budget + 1 pieces of about equal length that make up the pattern, from left to right."""
+    out = []
+
+    def walk(node: tuple[int, int, int], parent: tuple[int, int, int] | None) -> None:
+        if node[2]:
+            for child in halves(*node):
+                walk(child, node)
+        else:
+            out.append((node[0], pattern[node[0] : node[1]], parent))
+
+    walk((0, len(pattern), budget(pattern)), None)
+    return out
 
-def pieces(pattern: str) -> list[tuple[int, str]]:
-    """(offset, piece): budget + 1 pieces of about equal length that make up the pattern."""
-    n = budget(pattern) + 1
-    cuts = [len(pattern) * i // n for i in range(n + 1)]
-    return [(a, pattern[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+def above(pattern: str, at: int) -> list[tuple[int, int, int]]:
+    """The nodes between root and leaf, without either, from the leaf at this offset upwards."""
+    node, out = (0, len(pattern), budget(pattern)), []
+    while node[2]:
+        left, right = halves(*node)
+        node = left if at < left[1] else right
+        out.append(node)
+    return out[-2::-1]
+
+
+def sibling(pattern: str, line: str, start: int, at: int, size: int, parent: tuple[int, int, int]) -> bool:
+    """False if the rest of the parent cannot stand beside the hit: of its budget + 1 parts none is there unchanged."""
+    lo, hi, most = parent
+    if at > lo:
+        a, b, near = lo, at, line[max(0, start - (at - lo) - most) : start]
+    else:
+        a, b, near = at + size, hi, line[start + size : start + hi - at + most]
+    n = most + 1
+    return any(pattern[a + (b - a) * i // n : a + (b - a) * (i + 1) // n] in near for i in range(n))
 
 
 def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
@@ -89,10 +129,10 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, p) for i, t in items if len(p := normal(t)) >= MIN_CHARS]
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple]] = {}
         for k, (_, p) in enumerate(self.items):
-            for at, piece in pieces(p):
-                places.setdefault(piece, []).append((k, at))
+            for at, piece, parent in pieces(p):
+                places.setdefault(piece, []).append((k, at, parent))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -108,10 +148,17 @@ class Matcher:
         windows: dict[int, list[list[int]]] = {}
         for end, (size, where) in self.automaton.iter(line):
             start = end + 1 - size
-            for k, at in where:
+            for k, at, parent in where:
                 p = self.items[k][1]
+                if parent and not sibling(p, line, start, at, size, parent):
+                    continue
                 slack = budget(p)
                 a, b = max(0, start - at - slack), min(len(line), start - at + len(p) + slack)
+                got = windows.get(k)
+                if got and got[-1][0] <= a and b <= got[-1][1]:
+                    continue
+                if not all(myers(p[lo:hi], line[max(0, start - at + lo - most) : start - at + hi + most], most) for lo, hi, most in above(p, at)):
+                    continue
                 got = windows.setdefault(k, [])
                 if got and a <= got[-1][1]:  # hits come from left to right; overlapping windows are one
                     got[-1][1] = max(got[-1][1], b)

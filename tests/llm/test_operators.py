@@ -282,6 +282,23 @@ def test_decontamination_equals_brute_force(spark, edge, empty):
     assert decontam.matches(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_the_declared_tenth():
+    rng = random.Random(11)
+    for size in (40, 60, 80, 83, 120, 240):
+        item = prose(rng, 120)[:size].strip() + "q" * 3
+        p = decontam.normal(item)
+        own = decontam.Matcher([(7, item)])
+        for edits in (0, len(p) // 10 - 1, len(p) // 10, len(p) // 10 + 1, len(p) // 10 + 3):
+            for spread in (True, False):  # edits evenly over the item, so that few pieces stay whole, or at random places
+                passage = list(p)
+                for e in range(edits):
+                    at = len(p) * e // edits if spread else rng.randrange(len(p))
+                    passage[at] = rng.choice(["", "x", passage[at] + "z"])
+                line = decontam.normal(prose(rng, 12) + " " + "".join(passage) + " " + prose(rng, 12))
+                d = brute_distance(p, line)
+                assert [(i, n) for i, n, *_ in own.match(line)] == ([(7, d)] if d <= len(p) // 10 else []), (size, edits, d)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
     rng = random.Random(8)
