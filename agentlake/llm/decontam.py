@@ -14,11 +14,14 @@ hit above which every node matches.  From each hit the nodes are tried upwards,
 hits mostly end at the first; only around those that reach the root is the item's whole
 pattern verified with Myers' bit-parallel approximate matching.
 
+Items of fewer than MIN_CHARS normalised characters have budget 0 and match where they
+stand word for word, between word borders; longer ones also match inside words.
+
 The items go to the workers in blocks of BLOCK_CHARS characters, each with a pass over
 the documents of its own, so the automaton's size is bounded whatever the benchmark's.
 
-Defined results: null and empty texts match nothing; items of fewer than MIN_CHARS
-normalised characters, and null ones, say too little and are skipped; items with equal
+Defined results: null and empty texts match nothing, nor do null items and those without a
+letter or digit; an item of one common word matches every text with that word; items with equal
 text each get their row; repeated documents each get theirs; rows are one a document
 row, item: the match of least distance, then least end; further columns are ignored.
 """
@@ -39,6 +42,7 @@ from . import common
 
 #: Edits a character of the item.
 ERRORS = 0.1
+#: Shorter items are matched exactly.
 MIN_CHARS = 40
 BLOCK_CHARS = 4_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -49,7 +53,7 @@ def normal(text: str) -> str:
 
 
 def budget(pattern: str) -> int:
-    return int(ERRORS * len(pattern))
+    return int(ERRORS * len(pattern)) if len(pattern) >= MIN_CHARS else 0
 
 
 def halves(lo: int, hi: int, most: int) -> list[tuple[int, int, int]]:
@@ -128,9 +132,12 @@ class Matcher:
     """Automaton over the pieces of one block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, p) for i, t in items if len(p := normal(t)) >= MIN_CHARS]
+        self.items = [(i, p) for i, t in items if (p := normal(t))]
         places: dict[str, list[tuple]] = {}
         for k, (_, p) in enumerate(self.items):
+            if len(p) < MIN_CHARS:
+                places.setdefault(f" {p} ", []).append((k, None, None))
+                continue
             for at, piece, parent in pieces(p):
                 places.setdefault(piece, []).append((k, at, parent))
         self.automaton = ahocorasick.Automaton()
@@ -146,10 +153,14 @@ class Matcher:
             return []
         line = normal(text)
         windows: dict[int, list[list[int]]] = {}
-        for end, (size, where) in self.automaton.iter(line):
-            start = end + 1 - size
+        whole: dict[int, int] = {}  # short items: the first end of each
+        for end, (size, where) in self.automaton.iter(f" {line} "):
+            start = end - size  # in the line without its first border
             for k, at, parent in where:
                 p = self.items[k][1]
+                if at is None:
+                    whole.setdefault(k, end - 1)
+                    continue
                 if parent and not sibling(p, line, start, at, size, parent):
                     continue
                 slack = budget(p)
@@ -165,7 +176,7 @@ class Matcher:
                     got[-1][0] = min(got[-1][0], a)
                 else:
                     got.append([a, b])
-        out = []
+        out = [(self.items[k][0], 0, end, 0) for k, end in whole.items()]
         for k, spans in windows.items():
             i, p = self.items[k]
             best = None

@@ -299,6 +299,25 @@ def test_decontamination_finds_the_declared_tenth():
                 assert [(i, n) for i, n, *_ in own.match(line)] == ([(7, d)] if d <= len(p) // 10 else []), (size, edits, d)
 
 
+def test_decontamination_finds_short_items_word_for_word(spark):
+    items = [(1, "What is the capital of France?"), (2, "Paris"), (3, "x" * 39), (4, "?!"), (5, "Forty-two"), (6, ""), (7, "paris")]
+    rows = [(1, "So: what is the CAPITAL of France"), (2, "Comparison, parishes"), (3, "paris - forty  two; PARIS"), (4, "x" * 39), (5, "x" * 40), (6, "forty two."), (7, "What is a capital of France?"), (8, "? !")]
+    want = {(1, 1), (3, 2), (3, 5), (3, 7), (4, 3), (6, 5)}
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.matches(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and all(r["distance"] == r["budget"] == 0 for r in got)
+    assert {r["doc_id"] for r in decontam.clean(docs, bench).collect()} == {2, 5, 7, 8}
+    rng = random.Random(12)
+    texts, short = [prose(rng, 40) for _ in range(60)], [(k, prose(rng, rng.randint(1, 3))[:39].strip()) for k in range(80)]
+    own, found = decontam.Matcher(short), 0
+    for t in texts:
+        t += " " + rng.choice(short)[1]
+        got = {i: end for i, _, end, _ in own.match(t)}
+        assert got == {k: re.search(rf"\b{p}\b", t).end() for k, p in short if re.search(rf"\b{p}\b", t)}
+        found += len(got)
+    assert found >= len(texts)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 100)
     rng = random.Random(8)
