@@ -435,6 +435,19 @@ def test_language_network_gradients_by_differences():
 # -- pipeline
 
 
+def test_pipeline_drops_boilerplate_of_small_hosts(spark):
+    import corpus_pipeline
+
+    own = lambda k: f"line of page {k} alone"
+    rows = [(k, own(k) + ("\nfooter" if k < 9 else "") + ("\ntwice" if k > 12 else ""), "fifteen") for k in range(15)]
+    rows += [(100 + k, f"menu\n{own(100 + k)}", "three") for k in range(3)]
+    rows += [(200 + k, f"menu\n{own(200 + k)}", "two") for k in range(2)]
+    rows += [(300 + k, own(300 + k) + ("\nthree" if k < 3 else "") + ("\nfour" if k < 4 else ""), "sixty") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert got == {i: own(i) + ("\ntwice" if i in (13, 14) else "\nthree" if i in (300, 301, 302) else "") if h != "two" else t for i, t, h in rows}
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
