@@ -14,6 +14,8 @@ class Finding:
     check: str
     status: str
     detail: str = ""
+    #: ``exact`` findings may ask for another try; ``heuristic`` ones may only hold the branch.
+    certainty: str = "exact"
 
 
 @dataclass(frozen=True)

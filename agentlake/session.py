@@ -2,9 +2,9 @@
 
     engine = Engine(spark, "hdfs:///lake")
     session = engine.connect()
-    session.execute("CREATE TABLE inventory (id INTEGER NOT NULL, qty INTEGER);")
-    session.execute("BEGIN AGENT SESSION AS 'planner' RUN 'r1';")
-    session.execute("UPDATE inventory SET qty = qty - 5 WHERE id = 1 AND qty >= 5;")
+    session.execute("CREATE TABLE seats (flight INTEGER NOT NULL, free INTEGER);")
+    session.execute("BEGIN AGENT SESSION AS 'booker' RUN 'monday';")
+    session.execute("UPDATE seats SET free = free - 2 WHERE flight = 77 AND free >= 2;")
     session.execute("MERGE;")
 """
 
@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from agentlake.errors import BindError, BranchError, ConstraintError, EngineError, MergeError, TransactionError
 from agentlake.operators import gate, merge, mvcc, overlay, provenance
@@ -54,6 +55,8 @@ class Branch:
     state: str = LIVE
     lease: int | None = None
     generation: int = 0
+    #: number of the state's file; each change of the branch is the next
+    version: int = 0
     seq: int = 0
     reason: str = ""
     #: table: overlay parts, the inherited ones first
@@ -66,29 +69,102 @@ class Branch:
         return f"b_{self.id}"
 
 
+class Settings(dict):
+    """(table, column): value, each kept in the store from the moment it is set."""
+
+    def __init__(self, store: Store, folder: str):
+        self.store, self.folder = store, folder
+        for name in store.names(folder):
+            table, col, value = json.loads(store.load(f"{folder}/{name}"))
+            super().__setitem__((table, col), tuple(value) if isinstance(value, list) else value)
+
+    def __setitem__(self, cell: tuple[str, str], value: object) -> None:
+        text = json.dumps([*cell, value])
+        while not self.store.create(f"{self.folder}/{len(self.store.names(self.folder)):06d}.json", text):  # the last one of a cell holds
+            pass
+        super().__setitem__(cell, value)
+
+
 class Engine:
-    """One store with its branches, runs, budgets and merge policies."""
+    """One store with its branches, runs, budgets, bounds and merge policies; all of them outlive the engine.
+
+    Several engines may work on one store: names are given once, and a branch that another
+    engine has changed meanwhile is refused and read again.
+    """
 
     def __init__(self, spark: SparkSession, root: str, clock: Callable[[], int] | None = None):
         self.spark, self.store = spark, Store(spark, root)
-        self.runs, self.ledger = provenance.Runs(), Ledger()
-        self.policies: dict[tuple[str, str], str] = {}
+        self.runs, self.ledger = provenance.Runs(self.store), Ledger(self.store)
+        self.policies = Settings(self.store, "policies")
+        #: (table, column): (floor, ceiling) that a merge's result must keep; None is open
+        self.bounds = Settings(self.store, "bounds")
         self.checks: list[gate.Check] = [gate.Check("read_premise", self._premise, 1.0, 0.5)]
         self.clock = clock or (lambda: 0)
         self.branches: dict[int, Branch] = {}
+        self.merges: list[dict] = []
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Take over what other engines have done: their branches, and merges and reverts."""
         for name in self.store.names("branches"):
-            d = json.loads(self.store.load(f"branches/{name}"))
-            d["deltas"] = {t: [Part(**p) for p in ps] for t, ps in d["deltas"].items()}
-            self.branches[d["id"]] = Branch(**d)
-        self.merges: list[dict] = [json.loads(self.store.load(f"merges/{m}/merge.json")) for m in sorted(self.store.names("merges"), key=lambda m: int(m[2:]))]
+            self._read_branch(int(name))
+        known = {m["id"] for m in self.merges}
+        for name in self.store.names("merges"):
+            if name not in known and self.store.exists(f"merges/{name}/merge.json"):
+                self.merges.append(json.loads(self.store.load(f"merges/{name}/merge.json")))
+        self.merges.sort(key=lambda m: int(m["id"][2:]))
+        for m in self.merges:
+            m["reverted"] = m["reverted"] or self.store.exists(f"merges/{m['id']}/reverted.json")
+
+    def _read_branch(self, ident: int) -> Branch | None:
+        """The branch as the store has it; an object in use is brought up to date."""
+        known = self.branches.get(ident)
+        folder = f"branches/{ident:08d}"
+        if known is not None and not self.store.exists(f"{folder}/{known.version + 1:08d}.json"):
+            return known
+        if not (names := self.store.names(folder)):
+            return known
+        d = json.loads(self.store.load(f"{folder}/{names[-1]}"))
+        d["deltas"] = {t: [Part(**p) for p in ps] for t, ps in d["deltas"].items()}
+        if known is None:
+            known = self.branches[ident] = Branch(**d)
+        else:
+            known.__dict__.update(d)
+        return known
 
     def connect(self) -> Session:
         return Session(self)
 
+    def load(self, table: str, rows: DataFrame, fields: list[Field], skip_present: bool = False) -> int:
+        """Publish rows in bulk, as a new table or as more rows of one; a key that is there is refused or skipped."""
+        base = self.store.head()
+        known = table in self.store.commit(base)["tables"]
+        m = self.store.manifest(table, base) if known else Manifest(table, fields)
+        rows = rows.select(*(F.col(f.name).cast(SPARK[f.type]).alias(f.name) for f in m.fields))
+        if known and skip_present:
+            rows = rows.join(self.store.read(m).select(m.key), m.key, "left_anti").dropDuplicates([m.key]).select(*m.names)
+        self.connect()._check(m, rows, m.fields)
+        parts = self.store.write_part(f"data/{table}", rows, m.key, base + 1, ranged=True)
+        if not skip_present:
+            new = self.store.read(m, parts)
+            twice = new.groupBy(m.key).count().where("count > 1").limit(1).count()
+            if twice or (known and parts and new.join(self.store.read(m).select(m.key), m.key, "left_semi").limit(1).count()):
+                raise ConstraintError(f"a key of the rows for {table!r} is there already or comes twice; nothing was loaded")
+        self.store.publish(base, {table: self.store.with_parts(m, m.parts + parts)})
+        return sum(p.rows for p in parts)
+
     # -- branches ------------------------------------------------------------------------
 
     def save(self, b: Branch) -> None:
-        self.store.create(f"branches/{b.id}.json", json.dumps(asdict(b)), overwrite=True)
+        """The branch's next state; refused if another engine has written one since this one was read."""
+        folder = f"branches/{b.id:08d}"
+        b.version += 1
+        if not self.store.create(f"{folder}/{b.version:08d}.json", json.dumps(asdict(b))):
+            b.version -= 1
+            self._read_branch(b.id)
+            raise BranchError(f"{b.name} was changed by another engine meanwhile; look at it again and repeat the statement")
+        if b.version > 2:  # readers may be at the last one
+            self.store.delete(f"{self.store.root}/{folder}/{b.version - 2:08d}.json")
 
     def fork(self, agent: str, run: str | None = None, model: str | None = None, parent: Branch | None = None, lease: int | None = None) -> Branch:
         """A branch is a pointer: the commit and, in a nested one, its parent's overlay parts; no file is copied."""
@@ -99,20 +175,35 @@ class Engine:
             raise BranchError(f"branches nest to depth {MAX_DEPTH}; merge {parent.name} first")
         prov = self.runs.intern(agent, run, model)
         deltas = {} if parent is None else {t: list(ps) for t, ps in parent.deltas.items()}
-        b = Branch(max(self.branches, default=0) + 1, parent.id if parent else None, parent.fork if parent else self.store.head(), depth, agent, prov, lease=lease, deltas=deltas, inherited={t: len(ps) for t, ps in deltas.items()}, seq=parent.seq if parent else 0)
-        self.branches[b.id] = b
-        self.save(b)
-        return b
+        ident = max(self.branches, default=0) + 1
+        while True:
+            b = Branch(ident, parent.id if parent else None, parent.fork if parent else self.store.head(), depth, agent, prov, lease=lease, deltas=deltas, inherited={t: len(ps) for t, ps in deltas.items()}, seq=parent.seq if parent else 0)
+            if self.store.create(f"branches/{ident:08d}/{0:08d}.json", json.dumps(asdict(b))):
+                self.branches[ident] = b
+                return b
+            self._read_branch(ident)  # another engine's
+            ident += 1
 
     def branch(self, name: str, *states: str) -> Branch:
         text = name.removeprefix("b_")
-        b = self.branches.get(int(text)) if text.isdigit() else None
+        b = self._read_branch(int(text)) if text.isdigit() else None
         if b is None:
             raise BranchError(f"no branch {name!r}; branches are {', '.join(x.name for x in self.branches.values()) or 'none'}")
         if b.state not in (states or (LIVE, QUARANTINED)):
             raise BranchError(f"{b.name} is {b.state} and cannot be used for this")
         return b
 
+    def check(self, b: Branch, generation: int) -> None:
+        """Refuse a branch that has ended since a session took it, whoever ended it."""
+        self._read_branch(b.id)
+        if b.generation != generation or b.state not in (LIVE, QUARANTINED):
+            raise BranchError(f"{b.name} is {b.state} (generation {b.generation}, the session has {generation}); begin a new session")
+
+    def quarantined(self) -> list[tuple[str, str]]:
+        """(branch, why) of all that are held."""
+        self.refresh()
+        return [(b.name, b.reason) for b in sorted(self.branches.values(), key=lambda b: b.id) if b.state == QUARANTINED]
+
     def quarantine(self, b: Branch, reason: str) -> None:
         b.state, b.reason = QUARANTINED, reason
         self.save(b)
@@ -135,14 +226,29 @@ class Engine:
         gone.sort(key=lambda b: (-b.depth, -b.fork, -b.id))
         for b in gone:
             self.end(b, REAPED)
-        alive = {p.path for b in self.branches.values() if b.state in (LIVE, QUARANTINED) for ps in b.deltas.values() for p in ps}
-        for b in gone:
-            for ps in b.deltas.values():
-                for p in ps:
-                    if p.path not in alive:
-                        self.store.delete(p.path)
+        self._drop_overlays(gone)
         return [b.name for b in gone]
 
+    def _drop_overlays(self, gone: list[Branch]) -> None:
+        """Delete what only these ended branches wrote; what a crash leaves of it, ``vacuum`` finds."""
+        alive = self._overlay_paths()
+        for b in gone:
+            for p in {p.path for ps in b.deltas.values() for p in ps} - alive:
+                self.store.delete(p)
+
+    def _overlay_paths(self) -> set[str]:
+        return {p.path for b in self.branches.values() if b.state in (LIVE, QUARANTINED) for ps in b.deltas.values() for p in ps}
+
+    def vacuum(self, keep: int = 100) -> dict[str, int]:
+        """Reclaim commits beyond the last ``keep`` and all files that no kept commit and no branch in use needs.
+
+        A branch in use keeps the commits from its fork on.  Interrupted reaps and merges leave
+        files that nothing names; they go here too.
+        """
+        self.refresh()
+        forks = [b.fork for b in self.branches.values() if b.state in (LIVE, QUARANTINED)]
+        return self.store.vacuum(min([self.store.head() - keep, *forks]), self._overlay_paths())
+
     def collapse(self, b: Branch) -> None:
         """Rewrite a branch's own overlay parts as one, the latest image of each row with all that led to it."""
         for table in self.touched(b):
@@ -151,11 +257,9 @@ class Engine:
             if len(own) < 2:
                 continue
             delta = self._delta(m, own)
-            guards = delta.where("_guard <> ''").groupBy("_guard").count().limit(2).count()
-            if guards > 1:  # conditions are per statement: parts of one condition each stay apart
-                continue
             names = [f.name for f in m.fields[1:]]
-            last = delta.groupBy(m.key).agg(F.max_by(F.struct(*names, "_deleted", "_seq"), F.col("_seq")).alias("l"), F.max("_guard").alias("_guard"), *(F.max(F.col("_kinds")[n]).alias(f"k_{i}") for i, n in enumerate(names)))
+            # conditions are a list, so a row that came under several statements keeps all of theirs
+            last = delta.groupBy(m.key).agg(F.max_by(F.struct(*names, "_deleted", "_seq"), F.col("_seq")).alias("l"), F.array_distinct(F.flatten(F.collect_list("_guard"))).alias("_guard"), *(F.max(F.col("_kinds")[n]).alias(f"k_{i}") for i, n in enumerate(names)))
             pairs = F.filter(F.array(*(F.struct(F.lit(n).alias("c"), F.col(f"k_{i}").alias("k")) for i, n in enumerate(names))), lambda x: x["k"].isNotNull())
             out = last.select(m.key, *(F.col(f"l.{c}").alias(c) for c in (*names, "_deleted", "_seq")), F.map_from_entries(pairs).alias("_kinds"), "_guard")
             parts = self.store.write_part(f"overlays/{b.name}/{table}", out.select(*m.names, *_HIDDEN), m.key)
@@ -200,7 +304,7 @@ class Engine:
         names = m.names
         last = delta.groupBy(key).agg(
             F.max_by(F.struct(*names, "_deleted"), F.col("_seq")).alias("l"),
-            F.collect_set(F.when(F.col("_guard") != "", F.col("_guard"))).alias("guards"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_guard")))).alias("guards"),
             *(F.max(F.col("_kinds")[f.name]).alias(f"k_{i}") for i, f in enumerate(values)),  # S (assign) is above A (add)
         )
         parent = self.branches[b.parent] if b.parent is not None else None
@@ -239,12 +343,20 @@ class Engine:
         for text in [r["g"] for r in last.select(F.explode("guards").alias("g")).distinct().collect()]:  # at most one a statement
             guard_ok = guard_ok & (~F.array_contains("guards", text) | F.coalesce(self._guard(m, text), F.lit(False)))
         update = had & ~gone & there
+        by_name = dict(zip([f.name for f in values], results, strict=True))
+        broken = []
+        for (t, c), (floor, ceiling) in self.bounds.items():  # of the merged value, which neither side may have seen
+            if t == table and c in by_name:
+                v = F.when(update, by_name[c]).otherwise(F.col(f"l.{c}"))
+                broken += [F.coalesce(v < floor, F.lit(False))] * (floor is not None) + [F.coalesce(v > ceiling, F.lit(False))] * (ceiling is not None)
+        out_of_bounds = ~gone & some(broken)
         reason = (
             F.when(~had & ~gone & there, "ContradictoryAssign")
             .when(had & gone & there & ~same, "DeleteVsWrite")
             .when(had & ~gone & ~there, "DeleteVsWrite")
             .when(update & some(conflicts), "ContradictoryAssign")
             .when(had & there & ~guard_ok, "GuardFailed")
+            .when(out_of_bounds, "BoundViolated")
         )
         action = F.when(reason.isNotNull(), "none").when(~had, F.when(gone, "none").otherwise("insert")).when(gone, F.when(there, "delete").otherwise("none")).otherwise("update")
         outcome = F.when(reason.isNotNull(), merge.CONFLICT).when(update & some(losses), merge.LOSS).when(update & some(commutes), merge.COMMUTING).otherwise(merge.CLEAN)
@@ -277,25 +389,33 @@ class Engine:
         """Publish the branch as one commit, or nothing; the report says which and why."""
         if b.state == QUARANTINED:
             raise BranchError(f"{b.name} is quarantined ({b.reason}); release it first")
-        ident = f"m_{max((int(m['id'][2:]) for m in self.merges), default=0) + 1}"
+        self.refresh()
+        number = max((int(n[2:]) for n in self.store.names("merges")), default=0) + 1
+        while not self.store.create(f"merges/m_{number}/begun.json", json.dumps({"branch": b.name})):
+            number += 1
+        ident = f"m_{number}"
         base = self.store.head()
-        report = {"merge": ident, "branch": b.name, "outcome": merge.CLEAN, "conflicts": [], "rows": 0, "published": False, "blind": []}
+        report = {"merge": ident, "branch": b.name, "outcome": merge.CLEAN, "conflicts": [], "n_conflicts": 0, "rows": 0, "published": False, "blind": []}
         found: dict[str, tuple[Manifest, DataFrame]] = {}
         for table in self.touched(b):
+            if self._schema_moved(b, table, base):
+                report["outcome"], report["n_conflicts"] = merge.CONFLICT, report["n_conflicts"] + 1
+                report["conflicts"].append({"table": table, "key": None, "reason": "SchemaMismatch", "guards": []})
+                continue
             m, rows = self.resolve(b, table)
             path = f"{self.store.root}/merges/{ident}/{table}"
-            rows.write.mode("overwrite").parquet(path)  # computed once; read by the report, the commit and later merges
+            rows.write.parquet(path)  # computed once; read by the report, the commit and later merges
             rows = self.spark.read.parquet(path)
             found[table] = (m, rows)
-            total = rows.agg(merge.overall().alias("o"), F.count_if(F.col("action") != "none").alias("n")).first()
+            total = rows.agg(merge.overall().alias("o"), F.count_if(F.col("action") != "none").alias("n"), F.count("reason").alias("bad")).first()
             if total["o"] is not None and merge.RANK[total["o"]] > merge.RANK[report["outcome"]]:
                 report["outcome"] = total["o"]
             report["rows"] += total["n"]
-            bad = rows.where("reason is not null").select(m.key, "reason", "guards").limit(100).collect()  # a report, not the decision
+            report["n_conflicts"] += total["bad"]
+            bad = rows.where("reason is not null").select(m.key, "reason", "guards").limit(100).collect()  # the first; ``conflicts`` gives all
             report["conflicts"] += [{"table": table, "key": r[0], "reason": r[1], "guards": sorted(r[2])} for r in bad]
-            exact = {k for t, kind, k in b.reads if t == table and kind == "exact"}
-            if not any(t == table and kind == "pred" for t, kind, _ in b.reads):
-                report["blind"] += [table] if rows.where(~F.col(m.key).isin(sorted(exact))).limit(1).count() else []
+            if not any(t == table and kind == "pred" for t, kind, *_ in b.reads):
+                report["blind"] += [table] if rows.join(self._read_keys(b.reads, table, m), m.key, "left_anti").limit(1).count() else []
         status, findings = gate.evaluate(self.checks, {"branch": b, "engine": self})
         report["gate"], report["findings"] = status, [asdict(x) for x in findings]
         if report["outcome"] == merge.CONFLICT or status != gate.PASS:
@@ -317,16 +437,39 @@ class Engine:
         self.end(b, MERGED)
         return report
 
+    def conflicts(self, ident: str) -> DataFrame | None:
+        """(tbl, key, reason, guards): all conflicts of a merge that was tried, of any number."""
+        out = None
+        for name in self.store.names(f"merges/{ident}"):
+            if name.endswith(".json"):
+                continue
+            rows = self.spark.read.parquet(f"{self.store.root}/merges/{ident}/{name}").where("reason is not null")
+            rows = rows.select(F.lit(name).alias("tbl"), F.col(rows.columns[0]).cast("string").alias("key"), "reason", "guards")
+            out = rows if out is None else out.unionByName(rows)
+        return out
+
+    def _schema_moved(self, b: Branch, table: str, base: int) -> bool:
+        """Whether the target's table has gone or has other columns than the branch was forked with."""
+        if b.parent is not None:
+            return False
+        now = self.store.commit(base)["tables"].get(table)
+        return now is None or self.store.manifest(table, base).fields != self.store.manifest(table, b.fork).fields
+
+    def _read_keys(self, reads: list[list], table: str, m: Manifest) -> DataFrame:
+        """The keys that a branch read exactly, one a statement, as rows."""
+        keys = sorted({r[2] for r in reads if r[0] == table and r[1] == "exact"})
+        return self.spark.createDataFrame([(k,) for k in keys], T.StructType([T.StructField(m.key, m.schema[m.key].dataType)]))
+
     def _record(self, ident: str, b: Branch, commit: int, tables: list[str], report: dict) -> None:
         entry = {"id": ident, "branch": b.name, "commit": commit, "fork": b.fork, "tables": tables, "agent": b.agent, "prov": b.prov, "reads": b.reads, "outcome": report["outcome"], "reverted": False}
         self.merges.append(entry)
-        self.store.create(f"merges/{ident}/merge.json", json.dumps(entry), overwrite=True)
+        self.store.create(f"merges/{ident}/merge.json", json.dumps(entry))
 
     def _stage_result(self, parent: Branch, m: Manifest, rows: DataFrame) -> None:
         parent.seq += 1
         gone = F.col("action") == "delete"
         image = [F.when(gone, F.col(f"before.{n}")).otherwise(F.col(f"after.{n}")).alias(n) for n in m.names]
-        out = rows.where("action <> 'none'").select(*image, gone.alias("_deleted"), F.lit(parent.seq).alias("_seq"), F.col("kinds").alias("_kinds"), F.lit("").alias("_guard"))
+        out = rows.where("action <> 'none'").select(*image, gone.alias("_deleted"), F.lit(parent.seq).alias("_seq"), F.col("kinds").alias("_kinds"), F.array().cast("array<string>").alias("_guard"))
         parent.deltas.setdefault(m.table, []).extend(self.store.write_part(f"overlays/b_{parent.id}/{m.table}", out, m.key))
 
     def applied(self, m: Manifest, rows: DataFrame) -> Manifest:
@@ -335,54 +478,71 @@ class Engine:
         act = rows.where("action <> 'none'")
         span = act.where("action <> 'insert'").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count("*").alias("n")).first()
         hit, rest = self.store.split(m, span["lo"], span["hi"]) if span["n"] else ([], m.parts)
+        if hit:  # of those in range, by their key column alone, the ones that hold a touched row
+            meet = self.store.read(m, hit).select(key, "_metadata").join(act.where("action <> 'insert'").select(key), key, "left_semi")
+            hit, others, _ = self.store.holding(hit, meet)
+            rest = rest + others
         new = act.where("action <> 'delete'").select(*(F.col(f"after.{n}").alias(n) for n in m.names))
         if hit:
             kept = self.store.read(m, hit).join(act.select(key), key, "left_anti").select(*m.names)
             new = kept.unionByName(new)
         born = self.store.head() + 1
-        return self.store.with_parts(m, rest + self.store.write_part(f"data/{m.table}", new, key, born))
+        return self.store.with_parts(m, rest + self.store.write_part(f"data/{m.table}", new, key, born, ranged=True))
 
     def _premise(self, facts: dict) -> list[gate.Finding]:
         """Rows that the branch read by key and did not write must be on the target as they were at the fork."""
         b, out = facts["branch"], []
         if b.parent is not None:
             return out
-        for table in sorted({t for t, kind, _ in b.reads if kind == "exact"}):
+        certainty = "heuristic" if any(r[1] == "pred" for r in b.reads) else "exact"
+        head = self.store.head()
+        for table in sorted({r[0] for r in b.reads if r[1] == "exact"}):
+            if self._schema_moved(b, table, head):
+                continue  # a conflict of its own
             m = self.store.manifest(table, b.fork)
-            keys = sorted({k for t, kind, k in b.reads if t == table and kind == "exact"})
-            pick = lambda df, m=m, keys=keys: df.where(F.col(m.key).isin(keys))
+            keys = self._read_keys(b.reads, table, m)
+            pick = lambda df, m=m, keys=keys: df.join(keys, m.key, "left_semi")
             moved = overlay.row_diff(pick(self.view(table, at=b.fork)), pick(self.view(table)), m.key).select(m.key)
             if own := self.own_parts(b, table):
                 moved = moved.join(self._delta(m, own).select(m.key), m.key, "left_anti")
-            if got := sorted(r[0] for r in moved.limit(20).collect()):
-                out.append(gate.Finding("read_premise", gate.QUARANTINE, f"{table} rows {got} changed after {b.name} read them"))
+            if n := moved.count():
+                some = sorted(r[0] for r in moved.limit(20).collect())
+                out.append(gate.Finding("read_premise", gate.QUARANTINE, f"{n} row(s) of {table} changed after {b.name} read them at commit {b.fork}, now {head}: {some}{' and more' if n > len(some) else ''}", certainty))
         return out
 
     # -- revert ---------------------------------------------------------------------------------
 
     def dependents_of(self, ident: str) -> list[str]:
         """Merges that transitively read what this one wrote: forked after it, and their reads meet its rows."""
+        self.refresh()
         done = {m["id"]: m for m in self.merges if m["commit"] >= 0 and not m["reverted"]}
         if ident not in done:
             raise MergeError(f"{ident} is not a published merge that can be reverted; there are {', '.join(done) or 'none'}")
         found, queue = [], [ident]
         while queue:
-            w = done[queue.pop(0)]
-            for r in done.values():
-                if r["id"] in (ident, *found) or r["fork"] < w["commit"]:
-                    continue
-                if any(self._reads_meet(r, w, t) for t in w["tables"]):
-                    found.append(r["id"])
-                    queue.append(r["id"])
+            w = queue.pop(0)
+            for r in self._readers(done, w):
+                if r not in (ident, *found):
+                    found.append(r)
+                    queue.append(r)
         return sorted(found, key=lambda i: int(i[2:]))
 
+    def _readers(self, done: dict[str, dict], writer: str) -> list[str]:
+        w = done[writer]
+        return [r["id"] for r in done.values() if r["id"] != writer and r["fork"] >= w["commit"] and any(self._reads_meet(r, w, t) for t in w["tables"])]
+
+    def revert_tree(self, ident: str) -> str:
+        """What depends on a merge, as an indented text."""
+        deps = self.dependents_of(ident)
+        done = {m["id"]: m for m in self.merges if m["id"] in (ident, *deps)}
+        return provenance.render_tree(ident, {i: self._readers(done, i) for i in done})
+
     def _reads_meet(self, reader: dict, writer: dict, table: str) -> bool:
         m = self.store.manifest(table, writer["commit"])
         wrote = self.spark.read.parquet(f"{self.store.root}/merges/{writer['id']}/{table}").where("action <> 'none'")
-        exact = [k for t, kind, k in reader["reads"] if t == table and kind == "exact"]
-        if exact and wrote.where(F.col(m.key).isin(exact)).limit(1).count():
+        if any(r[0] == table and r[1] == "exact" for r in reader["reads"]) and wrote.join(self._read_keys(reader["reads"], table, m), m.key, "left_semi").limit(1).count():
             return True
-        for t, kind, text in reader["reads"]:
+        for t, kind, text, *_ in reader["reads"]:
             if t == table and kind == "pred":
                 if not text:
                     return True
@@ -394,7 +554,7 @@ class Engine:
         """Undo a merge, and with ``cascade`` what depends on it, the deepest first; without, dependents stop it."""
         deps = self.dependents_of(ident)
         if deps and not cascade:
-            return {"reverted": [], "halted": True, "dependents": deps}
+            return {"reverted": [], "halted": True, "dependents": deps, "tree": self.revert_tree(ident)}
         for i in [*sorted(deps, key=lambda x: -int(x[2:])), ident]:
             self._undo(next(m for m in self.merges if m["id"] == i))
         return {"reverted": [*sorted(deps, key=lambda x: -int(x[2:])), ident], "halted": False, "dependents": deps}
@@ -417,12 +577,13 @@ class Engine:
             changes[table] = self.applied(m, j.select(m.key, after.alias("after"), action.alias("_act")).withColumnRenamed("_act", "action"))
         self.store.publish(base, changes)
         entry["reverted"] = True
-        self.store.create(f"merges/{entry['id']}/merge.json", json.dumps(entry), overwrite=True)
+        self.store.create(f"merges/{entry['id']}/reverted.json", json.dumps({"commit": self.store.head()}))
 
     # -- authorship -------------------------------------------------------------------------------
 
     def who_wrote(self, table: str, key: object) -> str:
         """The run whose merge last wrote a row; writes without a session are unattributed."""
+        self.refresh()
         for m in reversed(self.merges):
             if m["commit"] >= 0 and table in m["tables"]:
                 rows = self.spark.read.parquet(f"{self.store.root}/merges/{m['id']}/{table}")
@@ -437,15 +598,26 @@ class Session:
 
     def __init__(self, engine: Engine):
         self.engine, self.store = engine, engine.store
-        self.branch: Branch | None = None
+        self._branch: Branch | None = None
+        self._generation = 0
         self.txn: dict | None = None  # {"base": commit, "changes": {table: Manifest}}
 
+    @property
+    def branch(self) -> Branch | None:
+        return self._branch
+
+    @branch.setter
+    def branch(self, b: Branch | None) -> None:
+        self._branch, self._generation = b, b.generation if b else 0
+
     # -- statements ------------------------------------------------------------------------------
 
     def execute(self, text: str) -> Result:
         """Run the text's statements; the last one's result."""
         out = Result("nothing to do")
         for s in parse(text):
+            if self.branch is not None:
+                self.engine.check(self.branch, self._generation)
             try:
                 out = getattr(self, f"_{s.kind}")(s)
             except EngineError:
@@ -459,14 +631,13 @@ class Session:
         return self.execute(text).df
 
     def _base(self) -> int:
-        return self.txn["base"] if self.txn else self.store.head()
+        """The commit that a statement works on; it takes it once, and a write is published on top of that one."""
+        return self.branch.fork if self.branch is not None else self.txn["base"] if self.txn else self.store.head()
 
-    def _manifest(self, table: str) -> Manifest:
-        if self.branch is not None:
-            return self.store.manifest(table, self.branch.fork)
-        if self.txn and table in self.txn["changes"]:
+    def _manifest(self, table: str, base: int | None = None) -> Manifest:
+        if self.branch is None and self.txn and table in self.txn["changes"]:
             return self.txn["changes"][table]
-        return self.store.manifest(table, self._base())
+        return self.store.manifest(table, self._base() if base is None else base)
 
     def _rows(self, ref: TableRef) -> tuple[Manifest, DataFrame]:
         if ref.branch is not None:
@@ -506,10 +677,10 @@ class Session:
         w = s.where
         if not s.joins and w is not None and w[0] == "=" and w[1][0] == "col" and w[1][2] == m.key and w[2][0] in ("num", "str"):
             value = w[2][1] if w[2][0] == "str" or m.fields[0].type == "DECIMAL" else float(w[2][1]) if "." in w[2][1] else int(w[2][1])
-            self.branch.reads.append([m.table, "exact", value])
+            self.branch.reads.append([m.table, "exact", value, self.branch.fork])  # the version read is the fork's
         else:
-            self.branch.reads.append([m.table, "pred", "" if s.joins else s.where_text])
-            self.branch.reads += [[j.table.name, "pred", ""] for j in s.joins]
+            self.branch.reads.append([m.table, "pred", "" if s.joins else s.where_text, self.branch.fork])
+            self.branch.reads += [[j.table.name, "pred", "", self.branch.fork] for j in s.joins]
         self.engine.save(self.branch)
 
     def _explain(self, s: Statement) -> Result:
@@ -529,7 +700,8 @@ class Session:
                     raise ConstraintError(f"{text}: {found[i]} row(s) refused, nothing was written")
 
     def _insert(self, s: Statement) -> Result:
-        m = self._manifest(s.table)
+        base = self._base()
+        m = self._manifest(s.table, base)
         if len(s.items) != len(m.fields):
             raise BindError(f"{s.table!r} has {len(m.fields)} columns ({', '.join(m.names)}), VALUES has {len(s.items)}")
         binder = Binder(Scope())
@@ -540,11 +712,12 @@ class Session:
             raise ConstraintError(f"key {row.first()[0]!r} is in {s.table!r} already; UPDATE it or use another key")
         if self.branch is not None:
             return self._stage(m, row, F.lit(False), {n: "S" for n in m.names[1:]}, "")
-        self._commit_parts(m, m.parts + self.store.write_part(f"data/{m.table}", row, m.key, self.store.head() + 1))
+        self._commit_parts(base, m, m.parts + self.store.write_part(f"data/{m.table}", row, m.key, base + 1))
         return Result("INSERT 1", count=1)
 
     def _update(self, s: Statement) -> Result:
-        m = self._manifest(s.table)
+        base = self._base()
+        m = self._manifest(s.table, base)
         fields = {f.name: f for f in m.fields}
         binder = Binder(Scope().add(s.table, m.fields))
         new, kinds = {}, {}
@@ -553,8 +726,9 @@ class Session:
             if name == m.key:
                 raise BindError(f"{name!r} is the key of {s.table!r} and cannot be assigned; DELETE and INSERT instead")
             new[name] = binder.value_for(e, fields[name])
-            adds = e[0] in ("+", "-") and e[1] == ("col", None, name) and e[2][0] == "num" and fields[name].type in _NUMBERS
-            kinds[name] = "A" if adds else "S"
+            own = ("col", None, name)
+            adds = (e[0] in ("+", "-") and e[1] == own and e[2][0] == "num") or (e[0] == "+" and e[2] == own and e[1][0] == "num")
+            kinds[name] = "A" if adds and fields[name].type in _NUMBERS else "S"
         pred = F.coalesce(binder.boolean(s.where), F.lit(False)) if s.where is not None else F.lit(True)
         source = self.engine.view(s.table, self.branch) if self.branch is not None else self.store.read(m)
         changed = source.alias(s.table).where(pred).select(*(new.get(n, column(s.table, n)).alias(n) for n in m.names))
@@ -562,24 +736,31 @@ class Session:
         if self.branch is not None:
             self._charge(m, source, changed, list(new))
             return self._stage(m, changed, F.lit(False), kinds, s.where_text)
-        count = changed.count()
-        if count:
-            rewritten = source.alias(s.table).select(*(F.when(pred, new[n]).otherwise(column(s.table, n)).alias(n) if n in new else column(s.table, n).alias(n) for n in m.names))
-            self._commit_parts(m, self.store.write_part(f"data/{m.table}", rewritten, m.key, self.store.head() + 1))
-        return Result(f"UPDATE {count}", count=count)
+        hit, rest, found = self._touched(m, pred)
+        if hit:  # the other parts stay as they are
+            rows = self.store.read(m, hit).alias(s.table).select(*(F.when(pred, new[n]).otherwise(column(s.table, n)).alias(n) if n in new else column(s.table, n).alias(n) for n in m.names))
+            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True))
+        return Result(f"UPDATE {found}", count=found)
+
+    def _touched(self, m: Manifest, pred: Column) -> tuple[list[Part], list[Part], int]:
+        """(parts with rows that the condition takes, the others, the number of such rows)."""
+        if not m.parts:
+            return [], [], 0
+        hit, rest, found = self.store.holding(m.parts, self.store.read(m).alias(m.table).where(pred))
+        return hit, rest, sum(found.values())
 
     def _delete(self, s: Statement) -> Result:
-        m = self._manifest(s.table)
+        base = self._base()
+        m = self._manifest(s.table, base)
         binder = Binder(Scope().add(s.table, m.fields))
         pred = F.coalesce(binder.boolean(s.where), F.lit(False)) if s.where is not None else F.lit(True)
-        source = (self.engine.view(s.table, self.branch) if self.branch is not None else self.store.read(m)).alias(s.table)
-        gone = source.where(pred)
         if self.branch is not None:
-            return self._stage(m, gone.select(*m.names), F.lit(True), {}, s.where_text)
-        count = gone.count()
-        if count:
-            self._commit_parts(m, self.store.write_part(f"data/{m.table}", source.where(~pred).select(*m.names), m.key, self.store.head() + 1))
-        return Result(f"DELETE {count}", count=count)
+            return self._stage(m, self.engine.view(s.table, self.branch).alias(s.table).where(pred).select(*m.names), F.lit(True), {}, s.where_text)
+        hit, rest, found = self._touched(m, pred)
+        if hit:
+            rows = self.store.read(m, hit).alias(s.table).where(~pred).select(*m.names)
+            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True))
+        return Result(f"DELETE {found}", count=found)
 
     def _charge(self, m: Manifest, before: DataFrame, after: DataFrame, names: list[str]) -> None:
         """Decreases of bounded cells are charged as one batch, before anything is staged."""
@@ -598,7 +779,7 @@ class Session:
     def _stage(self, m: Manifest, rows: DataFrame, deleted: Column, kinds: dict[str, str], guard: str) -> Result:
         b = self.branch
         kind_map = F.create_map(*(F.lit(x) for kv in kinds.items() for x in kv)) if kinds else F.lit(None)
-        out = rows.select(*m.names, deleted.alias("_deleted"), F.lit(b.seq + 1).alias("_seq"), kind_map.cast("map<string,string>").alias("_kinds"), F.lit(guard).alias("_guard"))
+        out = rows.select(*m.names, deleted.alias("_deleted"), F.lit(b.seq + 1).alias("_seq"), kind_map.cast("map<string,string>").alias("_kinds"), (F.array(F.lit(guard)) if guard else F.array().cast("array<string>")).alias("_guard"))
         parts = self.store.write_part(f"overlays/{b.name}/{m.table}", out, m.key)
         b.seq += 1
         if parts:
@@ -607,12 +788,12 @@ class Session:
         count = sum(p.rows for p in parts)
         return Result(f"STAGED {count}", count=count)
 
-    def _commit_parts(self, m: Manifest, parts: list[Part]) -> None:
+    def _commit_parts(self, base: int, m: Manifest, parts: list[Part]) -> None:
         new = self.store.with_parts(m, parts)
         if self.txn is not None:
             self.txn["changes"][m.table] = new
         else:
-            self.store.publish(self.store.head(), {m.table: new})
+            self.store.publish(base, {m.table: new})
 
     # -- definitions and transactions -----------------------------------------------------------------
 
@@ -633,17 +814,19 @@ class Session:
 
     def _drop_table(self, s: Statement) -> Result:
         self._outside("DROP TABLE")
-        self.store.manifest(s.table)
-        self.store.publish(self.store.head(), {s.table: None})
+        base = self._base()
+        self.store.manifest(s.table, base)
+        self.store.publish(base, {s.table: None})
         return Result("DROP TABLE")
 
     def _create_index(self, s: Statement) -> Result:
         """Parts keep their key ranges and Parquet its statistics; an index is recorded, not built."""
         self._outside("CREATE INDEX")
-        m = self.store.manifest(s.table)
+        base = self._base()
+        m = self.store.manifest(s.table, base)
         if s.columns[0] not in m.names:
             raise BindError(f"no column {s.columns[0]!r} in {s.table!r}; columns are {', '.join(m.names)}")
-        self.store.publish(self.store.head(), {s.table: Manifest(m.table, m.fields, m.parts, [*m.indexes, s.columns[0]])})
+        self.store.publish(base, {s.table: Manifest(m.table, m.fields, m.parts, [*m.indexes, s.columns[0]])})
         return Result("CREATE INDEX")
 
     def _analyze(self, s: Statement) -> Result:
@@ -684,16 +867,18 @@ class Session:
         return self.branch
 
     def _diff(self, s: Statement) -> Result:
-        """(tbl, key, kind, before, after, guards, status) of the branch's changes; images are JSON."""
+        """(tbl, key, kind, ops, before, after, guards, status) of the branch's changes; images are JSON, ops say Add or Assign by column."""
         b, out = self._named(s), None
         for table in self.engine.touched(b):
             m, rows = self.engine.resolve(b, table)
             own = self.engine._delta(m, self.engine.own_parts(b, table)).select(m.key).distinct()
             cut = lambda df, own=own, m=m: df.join(own, m.key, "left_semi")
             d = overlay.row_diff(cut(self.engine.view(table, b, upto=b.inherited)), cut(self.engine.view(table, b)), m.key)
-            moved = rows.select(m.key, "guards", (overlay.differs("fork", "before", m.names) | (F.col("fork").isNull() != F.col("before").isNull())).alias("moved"))
+            named = lambda x: F.concat(x["key"], F.lit(": "), F.when(x["value"] == "A", "Add").otherwise("Assign"))
+            ops = F.array_sort(F.transform(F.filter(F.map_entries("kinds"), lambda x: x["value"].isNotNull()), named))
+            moved = rows.select(m.key, "guards", ops.alias("ops"), (overlay.differs("fork", "before", m.names) | (F.col("fork").isNull() != F.col("before").isNull())).alias("moved"))
             d = d.join(moved, m.key, "left").select(
-                F.lit(table).alias("tbl"), F.col(m.key).cast("string").alias("key"), "kind", F.to_json("before").alias("before"), F.to_json("after").alias("after"), "guards",
+                F.lit(table).alias("tbl"), F.col(m.key).cast("string").alias("key"), "kind", "ops", F.to_json("before").alias("before"), F.to_json("after").alias("after"), "guards",
                 F.when(F.col("moved"), "pending (target moved)").otherwise("pending").alias("status"))
             out = d if out is None else out.unionByName(d)
         return Result("DIFF", out)
@@ -708,6 +893,7 @@ class Session:
     def _abandon(self, s: Statement) -> Result:
         b = self._named(s)
         self.engine.end(b, ABANDONED)
+        self.engine._drop_overlays([b])
         if self.branch is not None and self.branch.id == b.id:
             self.branch = None
         return Result(f"ABANDON {b.name}")

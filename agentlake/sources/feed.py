@@ -45,9 +45,20 @@ def read_feed(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return out.drop("_corrupt")
 
 
-def stream_feed(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
-    """The same as a stream of the folder's files; the checkpoint keeps the cursor."""
-    return events_of(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)).where("_corrupt is null").drop("_corrupt")
+def _refused(events: DataFrame) -> DataFrame:
+    """A stream's events; a line that is none ends the stream with an error that shows it, as skipping it would lose a change."""
+    text = F.concat(F.lit("a line of the feed is no event: "), F.substring("_corrupt", 1, 80))
+    return events.where(F.when(F.col("_corrupt").isNull(), F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))).drop("_corrupt")
+
+
+def stream_feed(spark: SparkSession, path: str, files_per_batch: int = 16, keep_corrupt: bool = False) -> DataFrame:
+    """The same as a stream of the folder's files; the checkpoint keeps the cursor.
+
+    With ``keep_corrupt`` lines that are no events come with their text in ``_corrupt``, for
+    a destination of their own, instead of ending the stream.
+    """
+    events = events_of(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path))
+    return events if keep_corrupt else _refused(events)
 
 
 def feed_lines(events: DataFrame) -> DataFrame:
@@ -82,4 +93,4 @@ def dump(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
 def follow(spark: SparkSession, host: str, port: int) -> DataFrame:
     """Events from a TCP feed as a stream; the socket source has no replay, so use files where a cursor must survive."""
     lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
-    return events_of(lines).where("_corrupt is null").drop("_corrupt")
+    return _refused(events_of(lines))
