@@ -36,21 +36,53 @@ def next_cursor(cursor: int, decoded: DataFrame, opened: DataFrame) -> int:
     return at if low is None else min(at, low)
 
 
-def pump(decoded: DataFrame, emitted_through: int, snapshot: dict | None = None) -> DataFrame:
-    """Events to emit: not delivered by the snapshot (table and transaction), then beyond ``emitted_through``."""
-    out = decoded
-    if snapshot:
-        seen = F.col("txn") < snapshot["high_water"]
-        if snapshot["active"]:
-            seen = seen & ~F.col("txn").isin(sorted(snapshot["active"]))
-        out = out.where(~(F.col("tbl").isin(sorted(snapshot["tables"])) & (F.col("txn") != 0) & seen))
-    return out.where(F.col("commit_lsn") > emitted_through)
+def boundary(changes: DataFrame, ends: DataFrame, lsn: int) -> dict:
+    """What a snapshot read at a log position has seen: {"high_water", "active"}, sampled from one state of the log.
+
+    All transactions that began up to the position are below the high water; those without
+    an end by then are ``active`` (a DataFrame of txn), and so are not in the copy.
+    """
+    begun = changes.where(F.col("lsn") <= lsn).select("txn").distinct()
+    high = begun.agg(F.max("txn")).first()[0]
+    return {"high_water": 0 if high is None else high + 1, "active": begun.join(ends.where(F.col("lsn") <= lsn).select("txn"), "txn", "left_anti")}
+
+
+def pump(decoded: DataFrame, emitted_through: int, snapshot: dict | None = None, cursor: int | None = None, base: int | None = None) -> DataFrame:
+    """Events to emit: not delivered by the snapshot (table and transaction), then beyond ``emitted_through``.
+
+    A ``cursor`` below the log's ``base`` is refused: what it points at is gone.
+    """
+    if cursor is not None and base is not None and cursor < base:
+        raise FeedError(f"the feed stopped at {cursor}, but the log begins at {base}: what lies between is lost; copy the tables anew and follow from {base}")
+    out = decoded.where(F.col("commit_lsn") > emitted_through)
+    if not snapshot:
+        return out
+    active = snapshot["active"]
+    copied = F.col("tbl").isin(sorted(snapshot["tables"])) & (F.col("txn") != 0) & (F.col("txn") < snapshot["high_water"])
+    if isinstance(active, DataFrame):
+        marked = out.join(active.select(F.col("txn").alias("_txn")).distinct(), F.col("txn") == F.col("_txn"), "left")
+        return marked.where(~copied | F.col("_txn").isNotNull()).drop("_txn")
+    return out.where(~(copied & ~F.col("txn").isin(sorted(active))) if active else ~copied)
+
+
+def _dealt(events: DataFrame, *order: str) -> DataFrame:
+    """Events dealt out by ranges of table and order, with ``_p``, the number of the range; written, so that both readers see one dealing."""
+    from agentlake.operators.provenance import checkpointed
+
+    return checkpointed(events.repartitionByRange("tbl", *order).withColumn("_p", F.spark_partition_id()))
 
 
 def commit_order(events: DataFrame) -> DataFrame:
-    """A dense position by (commit_lsn, lsn) within each table."""
-    w = Window.partitionBy("tbl").orderBy("commit_lsn", "lsn")
-    return events.withColumn("position", F.row_number().over(w).cast("bigint"))
+    """A dense position by (commit_lsn, lsn) within each table: places in a range, and the ranges' sizes added up.
+
+    A table's events lie in as many tasks as their number asks for; only the ranges' sizes meet in one.
+    """
+    dealt = _dealt(events, "commit_lsn", "lsn")
+    before = Window.partitionBy("tbl").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("tbl", "_p").agg(F.count("*").alias("_n")).select("tbl", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("tbl", "_p").orderBy("commit_lsn", "lsn"))
+    out = dealt.withColumn("_place", place).join(sizes, ["tbl", "_p"])
+    return out.withColumn("position", (F.col("_before") + F.col("_place")).cast("bigint")).select(*events.columns, "position")
 
 
 def position() -> Column:
@@ -107,9 +139,14 @@ def violations(events: DataFrame) -> DataFrame:
         .when((op == "DELETE") & (~before | after), "needs before alone")
         .when((op != "READ") & ~(F.col("commit_end_lsn") > F.col("commit_lsn")), "commit_end_lsn not beyond commit_lsn")
     )
-    w = Window.partitionBy("tbl").orderBy("line")
-    out = events.withColumn("_last", F.lag("commit_lsn").over(w))
-    reason = F.coalesce(shape, F.when(F.col("_last") > F.col("commit_lsn"), "commit_lsn goes back"))
+    dealt = _dealt(events, "line")
+    within = F.lag("commit_lsn").over(Window.partitionBy("tbl", "_p").orderBy("line"))
+    # an event that begins a range follows the last one of the range before
+    ends = dealt.groupBy("tbl", "_p").agg(F.max_by("commit_lsn", "line").alias("_end"), F.min("line").alias("_first"))
+    ends = ends.select("tbl", "_p", "_first", F.lag("_end").over(Window.partitionBy("tbl").orderBy("_p")).alias("_border"))
+    out = dealt.withColumn("_last", within).join(ends, ["tbl", "_p"])
+    last = F.when(F.col("line") == F.col("_first"), F.col("_border")).otherwise(F.col("_last"))
+    reason = F.coalesce(shape, F.when(last > F.col("commit_lsn"), "commit_lsn goes back"))
     return out.withColumn("reason", reason).where("reason is not null").select("lsn", "reason")
 
 
@@ -141,7 +178,11 @@ def precision_report(events: DataFrame, json_col: str, columns: list[str]) -> Da
     rows = rows.where("raw <> '' and raw <> 'null'")
     number = ~F.col("raw").startswith('"')
     whole = F.col("raw").rlike(r"^-?[0-9]+$")
+    held = F.col("raw").try_cast("double")
     back = F.when(whole, F.col("raw").try_cast("decimal(38,0)").try_cast("double").cast("decimal(38,0)").cast("string") != F.col("raw"))
+    # two spellings of one double with the same significant digits are one number; a fraction may be its shortest spelling or have lost digits
+    digits = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[eE].*$", ""), r"^-|\.", ""), r"^0+|0+$", "")
+    back = F.when(whole, back).otherwise(F.when(held.isNotNull(), digits(F.col("raw")) != digits(held.cast("string"))))
     return rows.groupBy("column").agg(
         F.count_if(~number).alias("strings"),
         F.count_if(number).alias("numbers"),

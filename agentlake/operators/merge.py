@@ -20,10 +20,12 @@ RANK = {CLEAN: 0, COMMUTING: 1, LOSS: 2, CONFLICT: 3}
 
 
 def dedup_frames(ops: DataFrame) -> DataFrame:
-    """One frame for each transaction, ours before theirs, then the first: an Add must not be applied twice."""
-    order = Window.partitionBy("txn").orderBy("side", "seq")
-    frames = ops.select("txn", "side", "seq").distinct().withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return ops.join(frames, ["txn", "side", "seq"], "left_semi")
+    """One frame for each transaction, ours before theirs, then the first: an Add must not be applied twice.
+
+    A partial aggregate finds each transaction's frame, so one of any size is not gathered.
+    """
+    first = ops.groupBy("txn").agg(F.min(F.struct("side", "seq")).alias("_f"))
+    return ops.join(first, "txn").where(F.struct("side", "seq") == F.col("_f")).select(*ops.columns)
 
 
 def _fold(kind: Column, value: Column, op: Column, b: Column) -> Column:
@@ -37,33 +39,43 @@ def _fold(kind: Column, value: Column, op: Column, b: Column) -> Column:
 
 
 def fold_sides(ops: DataFrame, base: DataFrame) -> DataFrame:
-    """(key, col, side, kind, v, txn, seq, b): each side's net operation on each cell, in (txn, seq, pos) order.
+    """(key, col, b, o_kind, o_v, o_at, t_kind, t_v, t_at): both sides' net operations on each cell, in (txn, seq, pos) order.
 
-    A side that did one kind of operation on a cell is reduced by a partial aggregate (a sum,
-    a bound, or the last Assign), so a hot counter is a few numbers a task.  Only mixed
-    cells are folded in order, from their last Assign on.
+    One aggregate by cell has both sides as conditional columns, and the base meets it once.
+    A side that did one kind of operation on a cell is reduced by partial aggregates (a sum,
+    a bound, or the last Assign), so a hot counter is a few numbers a task.  Only cells with
+    mixed kinds are read again and folded in order, from their last Assign on.
     """
     kind = ops.schema["v"].dataType.simpleString()
-    cell = ["key", "col", "side"]
     cells = ops.where("col is not null")
     at = F.struct("txn", "seq", "pos")
-    stats = cells.groupBy(*cell).agg(
-        F.min("kind").alias("k0"), F.max("kind").alias("k1"), F.sum("v").cast(kind).alias("total"), F.max("v").alias("most"), F.min("v").alias("least"),
-        F.max_by("v", at).alias("last_v"), F.max(F.struct("txn", "seq")).alias("last"), F.max(F.when(F.col("kind") == "Assign", at)).alias("reset"),
-    )
-    k = F.col("k0")
-    same = F.when(k == "Add", F.col("total")).when(k == "Max", F.col("most")).when(k == "Min", F.col("least")).otherwise(F.col("last_v"))
-    plain = stats.where("k0 = k1").select(*cell, F.col("k0").alias("kind"), same.alias("v"), "last").join(base.select("key", "col", "b"), ["key", "col"], "left")
 
-    mixed = stats.where("k0 <> k1").select(*cell, "reset", "last")
-    tail = cells.join(mixed, cell).where(F.col("reset").isNull() | (at >= F.col("reset")))
-    lists = tail.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("txn", "seq", "pos", "kind", "v"))).alias("ops"), F.max("last").alias("last"))
+    def stats(side: str, p: str) -> list[Column]:
+        on = F.col("side") == side
+        only = lambda c: F.when(on, c)
+        return [
+            F.min(only(F.col("kind"))).alias(f"{p}_k0"), F.max(only(F.col("kind"))).alias(f"{p}_k1"), F.sum(only(F.col("v"))).cast(kind).alias(f"{p}_total"),
+            F.max(only(F.col("v"))).alias(f"{p}_most"), F.min(only(F.col("v"))).alias(f"{p}_least"), F.max(F.when(on & (F.col("kind") == "Assign"), F.struct(at.alias("at"), "v"))).alias(f"{p}_set"),
+            F.max(F.when(on, F.struct("txn", "seq"))).alias(f"{p}_at"),
+        ]
+
+    both = cells.groupBy("key", "col").agg(*stats(OURS, "o"), *stats(THEIRS, "t")).join(base.select("key", "col", "b"), ["key", "col"], "left")
+    mixed = lambda p: F.col(f"{p}_k0") != F.col(f"{p}_k1")
+    sides = F.filter(F.array(*(F.struct(F.lit(s).alias("side"), mixed(p).alias("m"), F.col(f"{p}_set.at").alias("reset")) for s, p in ((OURS, "o"), (THEIRS, "t")))), lambda x: x["m"])
+    again = both.select("key", "col", "b", F.explode(sides).alias("s")).select("key", "col", "b", "s.side", "s.reset")
+    tail = cells.join(again, ["key", "col", "side"]).where(F.col("reset").isNull() | (at >= F.col("reset")))
+    lists = tail.groupBy("key", "col", "side").agg(F.array_sort(F.collect_list(F.struct("txn", "seq", "pos", "kind", "v"))).alias("ops"), F.first("b").alias("b"))
     start = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast(kind).alias("v"))
-    joined = lists.join(base.select("key", "col", "b"), ["key", "col"], "left")
-    net = F.aggregate("ops", start, lambda acc, op: _fold(acc["kind"], acc["v"], op, F.col("b")))
-    folded = joined.withColumn("net", net).select(*cell, F.col("net.kind").alias("kind"), F.col("net.v").alias("v"), "last", "b")
-    out = plain.select(*cell, "kind", "v", "last", "b").unionByName(folded)
-    return out.select("key", "col", "side", "kind", "v", "last.txn", "last.seq", "b")
+    net = lists.select("key", "col", "side", F.aggregate("ops", start, lambda acc, op: _fold(acc["kind"], acc["v"], op, F.col("b"))).alias("net"))
+    net = net.groupBy("key", "col").agg(*(F.max(F.when(F.col("side") == s, F.col("net"))).alias(f"{p}_net") for s, p in ((OURS, "o"), (THEIRS, "t"))))
+    both = both.join(net, ["key", "col"], "left")
+
+    def result(p: str) -> list[Column]:
+        k = F.col(f"{p}_k0")
+        plain = F.when(k == "Add", F.col(f"{p}_total")).when(k == "Max", F.col(f"{p}_most")).when(k == "Min", F.col(f"{p}_least")).otherwise(F.col(f"{p}_set.v"))
+        return [F.when(mixed(p), F.col(f"{p}_net.kind")).otherwise(k).alias(f"{p}_kind"), F.when(mixed(p), F.col(f"{p}_net.v")).otherwise(plain).alias(f"{p}_v"), F.col(f"{p}_at")]
+
+    return both.select("key", "col", "b", *result("o"), *result("t"))
 
 
 def net_value(kind: Column, v: Column, b: Column) -> Column:
@@ -71,9 +83,12 @@ def net_value(kind: Column, v: Column, b: Column) -> Column:
 
 
 def compose_cells(folded: DataFrame, policies: dict[str, str] | None = None, default: str = REJECT) -> DataFrame:
-    """(key, col, b, value, outcome, reason, lost_side, lost_kind, lost_v) of every cell that a side wrote."""
-    side = lambda s, p: folded.where(F.col("side") == s).select("key", "col", *(F.col(c).alias(f"{p}_{c}") for c in ("kind", "v", "txn", "seq", "b")))
-    both = side(OURS, "o").join(side(THEIRS, "t"), ["key", "col"], "full_outer").withColumn("b", F.coalesce("o_b", "t_b"))
+    """(key, col, b, value, outcome, reason, lost_side, lost_kind, lost_v, kept) of every cell that a side wrote.
+
+    ``kept`` has both sides' net operations where the multi-value policy keeps them beside
+    the later value; ``folded`` is as ``fold_sides`` gives it.
+    """
+    both = folded
     policy = F.lit(default)
     for name, p in (policies or {}).items():
         policy = F.when(F.col("col") == name, p).otherwise(policy)
@@ -82,7 +97,7 @@ def compose_cells(folded: DataFrame, policies: dict[str, str] | None = None, def
     one = ok.isNull() | tk.isNull()
     commute = (ok == tk) & ((ok != "Assign") | ov.eqNullSafe(tv))
     together = F.when(ok == "Add", b + ov + tv).when(ok == "Max", F.greatest(b, ov, tv)).when(ok == "Min", F.least(b, ov, tv)).otherwise(ov)
-    ours_later = F.struct("o_txn", "o_seq") > F.struct("t_txn", "t_seq")
+    ours_later = F.col("o_at") > F.col("t_at")
     later = F.when(ours_later, o_net).otherwise(t_net)
     both = both.withColumn("policy", policy).withColumn("_ours", ours_later)
     p = F.col("policy")
@@ -92,12 +107,14 @@ def compose_cells(folded: DataFrame, policies: dict[str, str] | None = None, def
     )
     outcome = F.when(one, CLEAN).when(commute | p.isin(ADDITIVE, MULTI), COMMUTING).when(p == LWW, LOSS).otherwise(CONFLICT)
     lost = outcome == LOSS
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), k.alias("kind"), v.alias("v")) for s, k, v in ((OURS, ok, ov), (THEIRS, tk, tv))))
     return both.select(
         "key", "col", "b", value.alias("value"), outcome.alias("outcome"),
         F.when(outcome == CONFLICT, "ContradictoryAssign").alias("reason"),
         F.when(lost, F.when(F.col("_ours"), THEIRS).otherwise(OURS)).alias("lost_side"),
         F.when(lost, F.when(F.col("_ours"), tk).otherwise(ok)).alias("lost_kind"),
         F.when(lost, F.when(F.col("_ours"), tv).otherwise(ov)).alias("lost_v"),
+        F.when(~one & ~commute & (p == MULTI), sides).alias("kept"),
     )
 
 
@@ -144,26 +161,47 @@ def overall(column: str = "outcome") -> Column:
     return names[F.max(rank[F.col(column)])]
 
 
-def guards_hold(rows: DataFrame, guard: Column) -> Column:
-    """``Holds``, ``GuardFailed`` (also for a null result) or, for a missing row, ``GuardUnevaluable``."""
-    return F.when(F.col("_present"), F.when(F.coalesce(guard, F.lit(False)), "Holds").otherwise("GuardFailed")).otherwise("GuardUnevaluable")
+def in_order(rows: DataFrame, key: str, order: list[str], start, step, out: str) -> DataFrame:
+    """A fold that accepts or refuses each of a key's rows by the state so far, which no partial aggregate can do.
+
+    The rows of a key are one task's by definition; they come sorted and leave as they are
+    decided, so nothing but the state is held.  ``start(row)`` gives a key's first state,
+    ``step(state, row)`` the next state and the values that the row gets as well.
+    """
+    columns = rows.columns
+    dealt = rows.repartition(key).sortWithinPartitions(key, *order)
+
+    def run(batches):
+        import pandas as pd
+
+        now, state = None, None
+        for batch in batches:
+            made = []
+            for row in batch.to_dict("records"):
+                if state is None or row[key] != now:
+                    now, state = row[key], start(row)
+                state, values = step(state, row)
+                made.append(values)
+            if made:
+                yield pd.concat([batch, pd.DataFrame(made, index=batch.index)], axis=1)
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    return dealt.mapInPandas(run, f"{schema}, {out}")
 
 
 def guarded_adds(base: DataFrame, ops: DataFrame) -> DataFrame:
     """(key, txn, seq, ok, value): each key's guarded additions in order; one applies if the running value is at least ``need``.
 
-    ``base`` has (key, b), ``ops`` (key, txn, seq, need, v); the fold is one ordered pass a key.
+    ``base`` has (key, b), ``ops`` (key, txn, seq, need, v).
     """
-    grouped = ops.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("txn", "seq", "need", "v"))).alias("ops")).join(base, "key")
-    step = lambda acc, op: F.struct(
-        F.when(acc["now"] >= op["need"], acc["now"] + op["v"]).otherwise(acc["now"]).alias("now"),
-        F.concat(acc["out"], F.array(F.struct(op["txn"].alias("txn"), op["seq"].alias("seq"), (acc["now"] >= op["need"]).alias("ok"), F.when(acc["now"] >= op["need"], acc["now"] + op["v"]).otherwise(acc["now"]).alias("value")))).alias("out"),
-    )
-    kinds = {c: ops.schema[c].dataType.simpleString() for c in ("txn", "seq", "v")}
-    empty = F.array().cast(f"array<struct<txn:{kinds['txn']},seq:{kinds['seq']},ok:boolean,value:{kinds['v']}>>")
-    start = F.struct(F.col("b").cast(kinds["v"]).alias("now"), empty.alias("out"))
-    done = grouped.withColumn("r", F.aggregate("ops", start, step)["out"])
-    return done.select("key", F.explode("r").alias("r")).select("key", "r.txn", "r.seq", "r.ok", "r.value")
+
+    def step(now, row):
+        ok = now >= row["need"]
+        now = now + row["v"] if ok else now
+        return now, {"ok": ok, "value": now}
+
+    rows = ops.select("key", "txn", "seq", "need", "v").join(base.select("key", "b"), "key")
+    return in_order(rows, "key", ["txn", "seq"], lambda row: row["b"], step, f"ok boolean, value {ops.schema['v'].dataType.simpleString()}").select("key", "txn", "seq", "ok", "value")
 
 
 def orset_merge(inserts: DataFrame, removes: DataFrame) -> DataFrame:
@@ -202,7 +240,7 @@ def append_frames(log: DataFrame, new: DataFrame) -> DataFrame:
     differing = new.select(*key, F.xxhash64("content").alias("_new")).join(old, key).where("_old <> _new")
     last = lambda df, name: df.groupBy("txn").agg(F.max("seq").alias(name))
     shorter = last(new, "n").join(last(log, "o"), "txn").where("n < o")
-    bad = [r[0] for r in differing.select("txn").unionByName(shorter.select("txn")).distinct().limit(5).collect()]
-    if bad:
-        raise MergeError(f"transactions {bad} contradict the log; append only what extends it")
+    bad = differing.select("txn").unionByName(shorter.select("txn")).distinct()
+    if count := bad.count():
+        raise MergeError(f"{count} transaction(s) contradict the log, such as {bad.first()[0]}; append only what extends it")
     return log.unionByName(new.join(old.select(*key), key, "left_anti").select(*log.columns))

@@ -42,13 +42,20 @@ def analyze(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return stats.select("n", F.explode(rows).alias("r")).select("r.column", F.col("n").alias("row_count"), "r.n_distinct", "r.n_nulls", "r.min", "r.max")
 
 
+def write_conflicts(versions: DataFrame, key: str, high_water: int, active: list[int]) -> DataFrame:
+    """(key, first_writer, refused): of the writers of a row that a snapshot does not see, the first wins and the others are refused."""
+    later = versions.where(~includes(F.col("begin_ts"), high_water, active))
+    return later.groupBy(key).agg(F.min("begin_ts").alias("first_writer"), (F.count("*") - 1).alias("refused")).where("refused > 0")
+
+
 def reclaimable(files: DataFrame, forks: DataFrame) -> DataFrame:
     """Files that no live fork can see: none has birth <= fork_epoch < freed.
 
-    ``files`` (owner, file, birth, freed), ``forks`` (owner, fork_epoch): an owner's forks
-    are gathered in one sorted array, so each file is one lookup.
+    ``files`` (owner, file, birth, freed), ``forks`` (owner, fork_epoch): forks look for the
+    files' lifetimes by bins, so an owner of many forks is not gathered.
     """
-    epochs = forks.groupBy("owner").agg(F.collect_set("fork_epoch").alias("epochs"))
-    joined = files.join(epochs, "owner", "left")
-    needed = F.exists(F.coalesce("epochs", F.array().cast("array<bigint>")), lambda e: (e >= F.col("birth")) & (e < F.col("freed")))
-    return joined.where(~needed).drop("epochs")
+    from agentlake.operators.provenance import range_join
+
+    spans = files.select("owner", F.col("file").alias("_file"), F.col("birth").cast("double").alias("_birth"), F.col("freed").cast("double").alias("_freed"))
+    needed = range_join(forks.select("owner", "fork_epoch").distinct(), spans, "fork_epoch", "_birth", "_freed", ["owner"]).select("owner", "_file").distinct()
+    return files.join(needed, (files["owner"] == needed["owner"]) & (files["file"] == needed["_file"]), "left_anti")

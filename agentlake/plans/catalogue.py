@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlake.functions import scalar
 from agentlake.operators import cdc, escrow, merge, mvcc, overlay, provenance
+from agentlake.plans.binder import Field
+from agentlake.session import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lake(spark: SparkSession, **tables: DataFrame) -> Engine:
+    """An engine on a store of its own in the shared folder, with these tables; the first column is the key."""
+    engine = Engine(spark, f"{provenance.shared_folder(spark)}/lake-{uuid.uuid4().hex}")
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "FLOAT"}
+    for name, df in tables.items():
+        engine.load(name, df, [Field(c, kinds[t], 0, k > 0) for k, (c, t) in enumerate(df.dtypes)])
+    return engine
+
+
+def agent(engine: Engine, name: str, *statements: str):
+    """A branch session after some statements."""
+    s = engine.connect()
+    s.execute(f"BEGIN AGENT SESSION AS '{name}'")
+    for text in statements:
+        s.execute(text)
+    return s
+
+
 # -- scans, filters, scalars ------------------------------------------------------
 
 
@@ -84,12 +105,12 @@ def exact_bigint_double_cmp(spark, d):
 @query("""WITH x AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN '-' ELSE '' END || CAST(p_partkey % 50 AS VARCHAR) || '.' || CAST(p_size AS VARCHAR) || '0' AS t FROM part)
 SELECT t, CAST(dense_rank() OVER (ORDER BY CAST(t AS DECIMAL(18,6))) AS INTEGER) AS r FROM (SELECT DISTINCT t FROM x)""")
 def decimal_text_order(spark, d):
-    from pyspark.sql import Window
-
+    """Distinct numbers are dealt out by ranges and numbered in each; only the ranges' sizes meet in one task."""
     sign = F.when(F.col("p_partkey") % 2 == 0, "-").otherwise("")
     t = F.concat(sign, (F.col("p_partkey") % 50).cast("string"), F.lit("."), F.col("p_size").cast("string"), F.lit("0"))
-    x = table(spark, d, "part").select(t.alias("t")).distinct()
-    return x.select("t", F.dense_rank().over(Window.orderBy(scalar.decimal_key(F.col("t")))).alias("r"))
+    x = table(spark, d, "part").select(t.alias("t")).distinct().withColumn("k", scalar.decimal_key(F.col("t")))
+    keys = cdc.commit_order(x.select(F.lit("").alias("tbl"), F.col("k").alias("commit_lsn"), F.lit(0).alias("lsn")).distinct())
+    return x.join(keys.select(F.col("commit_lsn").alias("k"), F.col("position").cast("int").alias("r")), "k").select("t", "r")
 
 
 # -- joins ---------------------------------------------------------------------------
@@ -143,9 +164,10 @@ def left_join_right_filter(spark, d):
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").where("o_totalprice > 250000").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 5 = 0) ON c_custkey = o_custkey")
+@query("SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON c_custkey = o_custkey + 20")
 def join_full_outer(spark, d):
-    c, o = table(spark, d, "customer").where("c_custkey % 2 = 0"), table(spark, d, "orders").where("o_orderkey % 5 = 0")
+    """Shifted keys, so that both sides have rows without a partner."""
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").withColumn("o_custkey", F.col("o_custkey") + 20)
     return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "full_outer").select("c_custkey", "o_orderkey")
 
 
@@ -161,23 +183,25 @@ def join_right_outer(spark, d):
 @query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size - 5 ELSE p_size END AS p_size,
 CASE WHEN p_size > 25 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice END AS p_retailprice FROM part""")
 def dml_update_case(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    hit = F.coalesce(F.col("p_size") > 25, F.lit(False))
-    # both right sides see the old row
-    return p.select("p_partkey", F.when(hit, F.col("p_size") - 5).otherwise(F.col("p_size")).alias("p_size"), F.when(hit, F.col("p_size").cast("double")).otherwise(F.col("p_retailprice")).alias("p_retailprice"))
+    s = lake(spark, part=table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")).connect()
+    s.execute("UPDATE part SET p_size = p_size - 5, p_retailprice = p_size * 1.0 WHERE p_size > 25")  # both right sides see the old row
+    return s.query("SELECT * FROM part")
 
 
 @query("SELECT p_partkey, p_size FROM part WHERE NOT coalesce(p_size > 40, FALSE)")
 def dml_delete(spark, d):
-    return table(spark, d, "part").where(~F.coalesce(F.col("p_size") > 40, F.lit(False))).select("p_partkey", "p_size")
+    s = lake(spark, part=table(spark, d, "part").select("p_partkey", "p_size")).connect()
+    s.execute("DELETE FROM part WHERE p_size > 40")
+    return s.query("SELECT * FROM part")
 
 
 @query("""WITH new AS (SELECT p_partkey + 100 AS p_partkey, p_size FROM part)
 SELECT p_partkey, p_size FROM part UNION ALL SELECT p_partkey, p_size FROM new WHERE p_partkey NOT IN (SELECT p_partkey FROM part)""")
 def dml_insert_unique(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_size")
-    new = p.withColumn("p_partkey", F.col("p_partkey") + 100)
-    return p.unionByName(new.join(p, "p_partkey", "left_anti"))
+    engine = lake(spark, part=p)
+    engine.load("part", p.withColumn("p_partkey", F.col("p_partkey") + 100), [], skip_present=True)
+    return engine.view("part")
 
 
 @query(" UNION ALL ".join(
@@ -207,8 +231,7 @@ def mvcc_visible_versions(spark, d):
 @query("""WITH w AS (SELECT o_custkey AS k, o_orderkey AS begin_ts FROM orders WHERE o_orderkey >= 900)
 SELECT k, CAST(min(begin_ts) AS BIGINT) AS first_writer, CAST(count(*) - 1 AS BIGINT) AS refused FROM w GROUP BY k HAVING count(*) > 1""")
 def mvcc_write_conflicts(spark, d):
-    later = _versions(spark, d).where(~mvcc.includes(F.col("begin_ts"), 900, []))
-    return later.groupBy("k").agg(F.min("begin_ts").alias("first_writer"), (F.count("*") - 1).alias("refused")).where("refused > 0")
+    return mvcc.write_conflicts(_versions(spark, d), "k", 900, [])
 
 
 # -- branches -----------------------------------------------------------------------------
@@ -264,15 +287,13 @@ def branch_latest_images(spark, d):
 @query("""SELECT p_partkey AS key, CAST(p_size - CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 0 END - CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 0 END AS BIGINT) AS value,
 CASE WHEN p_partkey % 6 = 0 THEN 'Commuting' WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 'Clean' ELSE 'Untouched' END AS outcome FROM part""")
 def merge_add_commute(spark, d):
-    """Two branches decrement overlapping parts; additions commute, so sums by side suffice and nothing is sorted."""
-    p = table(spark, d, "part")
-    base = p.select(F.col("p_partkey").alias("key"), F.col("p_size").cast("bigint").alias("b"))
-    ours = base.where("key % 2 = 0").select("key", F.lit(-5).cast("bigint").alias("v"))
-    theirs = base.where("key % 3 = 0").select("key", F.lit(-3).cast("bigint").alias("v"))
-    side = lambda x, c: x.groupBy("key").agg(F.sum("v").alias(c))
-    m = base.join(side(ours, "o"), "key", "left").join(side(theirs, "t"), "key", "left")
-    outcome = F.when(F.col("o").isNotNull() & F.col("t").isNotNull(), merge.COMMUTING).when(F.coalesce("o", "t").isNotNull(), merge.CLEAN).otherwise("Untouched")
-    return m.select("key", (F.col("b") + F.coalesce("o", F.lit(0)) + F.coalesce("t", F.lit(0))).cast("bigint").alias("value"), outcome.alias("outcome"))
+    """Two branches decrement overlapping parts; additions commute."""
+    base = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit("p_size").alias("col"), F.col("p_size").cast("bigint").alias("b"))
+    side = lambda name, n, txn, v: base.where(F.col("key") % n == 0).select(
+        F.lit(name).alias("side"), (F.col("key") * 10 + txn).alias("txn"), F.lit(1).cast("bigint").alias("seq"), F.lit(0).alias("pos"), "key", "col", F.lit("Add").alias("kind"), F.lit(v).cast("bigint").alias("v"))
+    cells, _ = merge.three_way_merge(base, side("ours", 2, 1, -5).unionByName(side("theirs", 3, 2, -3)))
+    m = base.select("key", "b").join(cells.select("key", "value", "outcome"), "key", "left")
+    return m.select("key", F.coalesce("value", "b").alias("value"), F.coalesce("outcome", F.lit("Untouched")).alias("outcome"))
 
 
 def _cell_ops(spark, d, kinds: tuple[str, str]):
@@ -310,9 +331,11 @@ def merge_policy_additive(spark, d):
     return _cells(spark, d, ("Assign", "Add"), merge.ADDITIVE).select("key", "value", "outcome")
 
 
-@query(f"WITH {_AB} SELECT key, CASE WHEN NOT t THEN ov ELSE greatest(b, tv) END AS value, CASE WHEN o AND t THEN 'Commuting' ELSE 'Clean' END AS outcome FROM x")
+@query(f"""WITH {_AB} SELECT key, CASE WHEN NOT t THEN ov ELSE greatest(b, tv) END AS value, CASE WHEN o AND t THEN 'Commuting' ELSE 'Clean' END AS outcome,
+CASE WHEN o AND t THEN 'ours Assign ' || ov || ', theirs Max ' || tv END AS kept FROM x""")
 def merge_policy_multivalue(spark, d):
-    return _cells(spark, d, ("Assign", "Max"), merge.MULTI).select("key", "value", "outcome")
+    spelled = F.array_join(F.transform("kept", lambda x: F.concat_ws(" ", x["side"], x["kind"], x["v"].cast("string"))), ", ")
+    return _cells(spark, d, ("Assign", "Max"), merge.MULTI).select("key", "value", "outcome", spelled.alias("kept"))
 
 
 @query(f"""WITH {_AB} SELECT key, 'max' AS kind, CASE WHEN NOT t THEN greatest(b, ov) WHEN NOT o THEN greatest(b, tv) ELSE greatest(b, ov, tv) END AS value FROM x
@@ -322,11 +345,11 @@ def merge_max_min(spark, d):
     return one("Max").unionByName(one("Min"))
 
 
-@query("""WITH x AS (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS b FROM part WHERE p_partkey % 4 = 0)
+@query("""WITH x AS (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS b FROM part)
 SELECT key, CASE WHEN key % 3 = 0 THEN greatest(CAST(7 AS BIGINT) - 2, 6) ELSE greatest(b + 4, 30) - 1 END AS value FROM x""")
 def merge_fold_order(spark, d):
     """One side's operations on a cell in order: Assign 7, Add -2, Max 6 on some keys; Add 4, Max 30, Add -1 on the others."""
-    base = table(spark, d, "part").where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("key"), F.lit("p_size").alias("col"), F.col("p_size").cast("bigint").alias("b"))
+    base = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lit("p_size").alias("col"), F.col("p_size").cast("bigint").alias("b"))
     lists = F.when(F.col("key") % 3 == 0, F.expr("array(struct('Assign' as kind, 7L as v), struct('Add' as kind, -2L as v), struct('Max' as kind, 6L as v))")).otherwise(
         F.expr("array(struct('Add' as kind, 4L as v), struct('Max' as kind, 30L as v), struct('Add' as kind, -1L as v))"))
     ops = base.select("key", "col", F.posexplode(lists).alias("pos", "op")).select(
@@ -383,27 +406,27 @@ def merge_bound_recheck(spark, d):
 
 
 @query("""WITH base AS (SELECT p_partkey AS key, CAST(p_size AS BIGINT) AS b FROM part)
-SELECT key, CAST(1 AS INTEGER) AS txn, b >= 12 AS ok, CASE WHEN b >= 12 THEN b - 12 ELSE b END AS value FROM base
-UNION ALL SELECT key, 2, (CASE WHEN b >= 12 THEN b - 12 ELSE b END) >= 12, CASE WHEN b >= 24 THEN b - 24 WHEN b >= 12 THEN b - 12 ELSE b END FROM base""")
+SELECT key, CAST(1 AS INTEGER) AS txn, b >= 15 AS ok, CASE WHEN b >= 15 THEN b - 15 ELSE b END AS value FROM base
+UNION ALL SELECT key, 2, (CASE WHEN b >= 15 THEN b - 15 ELSE b END) >= 15, CASE WHEN b >= 30 THEN b - 30 WHEN b >= 15 THEN b - 15 ELSE b END FROM base""")
 def merge_guard_recheck(spark, d):
     base = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("bigint").alias("b"))
-    ops = base.select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("txn"), F.lit(1).alias("seq"), F.lit(12).cast("bigint").alias("need"), F.lit(-12).cast("bigint").alias("v"))
+    ops = base.select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("txn"), F.lit(1).alias("seq"), F.lit(15).cast("bigint").alias("need"), F.lit(-15).cast("bigint").alias("v"))
     return merge.guarded_adds(base, ops).select("key", "txn", "ok", "value")
 
 
-@query("SELECT p_partkey AS key, CAST(p_size - 24 AS BIGINT) AS lowest, p_size - 24 < 0 AS breaks FROM part")
+@query("SELECT p_partkey AS key, CAST(p_size - 18 AS BIGINT) AS lowest, p_size - 18 < 0 AS breaks FROM part")
 def merge_floor_guard_negative(spark, d):
     """A precondition qty >= 0 does not protect the floor: both decrements hold it and the result may be negative."""
     base = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").cast("bigint").alias("b"))
-    ops = base.select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("txn"), F.lit(1).alias("seq"), F.lit(-12).cast("bigint").alias("v"))
+    ops = base.select("key", F.explode(F.array(F.lit(1), F.lit(2))).alias("txn"), F.lit(1).alias("seq"), F.lit(-9).cast("bigint").alias("v"))
     return escrow.running_floor(base, ops)
 
 
-@query("""SELECT p_partkey AS cell, CAST(CASE WHEN p_size >= 12 THEN 1 ELSE 0 END + CASE WHEN p_size - CASE WHEN p_size >= 12 THEN 12 ELSE 0 END >= 20 THEN 1 ELSE 0 END AS BIGINT) AS granted,
-CAST(CASE WHEN p_size >= 12 THEN 12 ELSE 0 END + CASE WHEN p_size - CASE WHEN p_size >= 12 THEN 12 ELSE 0 END >= 20 THEN 20 ELSE 0 END AS BIGINT) AS claimed FROM part""")
+@query("""SELECT p_partkey AS cell, CAST(CASE WHEN p_size >= 15 THEN 1 ELSE 0 END + CASE WHEN p_size - CASE WHEN p_size >= 15 THEN 15 ELSE 0 END >= 25 THEN 1 ELSE 0 END AS BIGINT) AS granted,
+CAST(CASE WHEN p_size >= 15 THEN 15 ELSE 0 END + CASE WHEN p_size - CASE WHEN p_size >= 15 THEN 15 ELSE 0 END >= 25 THEN 25 ELSE 0 END AS BIGINT) AS claimed FROM part""")
 def escrow_budget(spark, d):
     cells = table(spark, d, "part").select(F.col("p_partkey").alias("cell"), F.col("p_size").cast("bigint").alias("slack"))
-    claims = cells.select("cell", F.explode(F.expr("array(struct(1 as seq, 'b_1' as branch, 12L as amount), struct(2 as seq, 'b_2' as branch, 20L as amount))")).alias("c")).select("cell", "c.*")
+    claims = cells.select("cell", F.explode(F.expr("array(struct(1 as seq, 'b_1' as branch, 15L as amount), struct(2 as seq, 'b_2' as branch, 25L as amount))")).alias("c")).select("cell", "c.*")
     done = escrow.grant_claims(cells, claims)
     return done.groupBy("cell").agg(F.count_if("granted").alias("granted"), F.sum(F.when(F.col("granted"), F.col("amount")).otherwise(0)).alias("claimed"))
 
@@ -442,10 +465,10 @@ def blind_writes(spark, d):
 
 
 @query("""WITH v AS (SELECT user_id AS key, max(event_id) AS now FROM events GROUP BY user_id)
-SELECT e.user_id AS key, e.event_id AS version, v.now AS version_now FROM events e JOIN v ON v.key = e.user_id WHERE e.event_id % 4 = 0 AND e.event_id <> v.now""")
+SELECT e.user_id AS key, e.event_id AS version, v.now AS version_now FROM events e JOIN v ON v.key = e.user_id WHERE e.event_id <> v.now""")
 def read_premise_moved(spark, d):
     e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"))
-    return provenance.moved_premises(e.where("version % 4 = 0"), e.groupBy("key").agg(F.max("version").alias("version")))
+    return provenance.moved_premises(e, e.groupBy("key").agg(F.max("version").alias("version")))
 
 
 _EDGES = """w AS (SELECT event_id AS txn, user_id AS key, event_id AS version FROM events),
@@ -455,8 +478,6 @@ edges AS (SELECT DISTINCT w.txn AS writer, rd.txn AS reader FROM w JOIN rd ON w.
 
 def _edges(spark, d):
     """Each event's transaction wrote its user's row; two of three also read the version before."""
-    from pyspark.sql import Window
-
     e = table(spark, d, "events").select(F.col("event_id").alias("txn"), F.col("user_id").alias("key"), F.col("event_id").alias("version"))
     reads = e.withColumn("version", F.lag("version").over(Window.partitionBy("key").orderBy("version"))).where("txn % 3 <> 0")
     return provenance.dependency_edges(e, reads)
@@ -476,11 +497,12 @@ def dependency_range_edges(spark, d):
     return provenance.dependency_edges(e, none, s)
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, c(root, txn) AS (SELECT writer, reader FROM edges WHERE writer % 50 = 1 UNION SELECT c.root, e.reader FROM c JOIN edges e ON e.writer = c.txn)
+@query(f"""WITH RECURSIVE {_EDGES}, c(root, txn) AS (SELECT writer, reader FROM edges WHERE writer % 100 = 0 UNION SELECT c.root, e.reader FROM c JOIN edges e ON e.writer = c.txn)
 SELECT root, txn FROM c WHERE root <> txn""")
 def revert_cascade_closure(spark, d):
+    """What depends on each merge of a stated query set, the ids divisible by 100."""
     edges = _edges(spark, d)
-    return provenance.dependents(edges, edges.where("writer % 50 = 1").select(F.col("writer").alias("root")))
+    return provenance.dependents(edges, edges.where("writer % 100 = 0").select(F.col("writer").alias("root")))
 
 
 @query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 3 = 0 THEN 'Add' WHEN p_partkey % 3 = 1 THEN 'Assign' END AS kind,
@@ -511,6 +533,78 @@ def reclaimable_files(spark, d):
     return mvcc.reclaimable(files, forks).select("file")
 
 
+# -- sessions --------------------------------------------------------------------------------------------
+
+
+def _part(spark, d, more: int = 0):
+    return table(spark, d, "part").select("p_partkey", (F.col("p_size") + more).alias("p_size"), "p_retailprice")
+
+
+@query("""SELECT p_partkey, CAST(p_size - CASE WHEN p_partkey < 150 THEN 5 ELSE 0 END + CASE WHEN p_partkey >= 50 THEN 3 ELSE 0 END AS BIGINT) AS p_size,
+CASE WHEN p_partkey < 40 THEN 1.5 ELSE p_retailprice END AS p_retailprice FROM part WHERE p_partkey < 190 OR p_partkey >= 195""")
+def session_merge_commute(spark, d):
+    """Two sessions' additions meet in the trunk, beside an assignment and a deletion of one of them."""
+    e = lake(spark, part=_part(spark, d))
+    a = agent(e, "a", "UPDATE part SET p_size = p_size - 5 WHERE p_partkey < 150", "UPDATE part SET p_retailprice = 1.5 WHERE p_partkey < 40")
+    b = agent(e, "b", "UPDATE part SET p_size = 3 + p_size WHERE p_partkey >= 50", "DELETE FROM part WHERE p_partkey >= 190 AND p_partkey < 195")
+    a.execute("MERGE")
+    b.execute("MERGE")
+    return e.view("part").withColumn("p_size", F.col("p_size").cast("bigint"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, 'ContradictoryAssign' AS reason FROM part WHERE p_partkey < 120 AND p_size <> 1
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'DeleteVsWrite' FROM part WHERE p_partkey >= 120 AND p_partkey < 140""")
+def session_merge_conflicts(spark, d):
+    e = lake(spark, part=_part(spark, d))
+    a = agent(e, "a", "UPDATE part SET p_size = 1 WHERE p_partkey < 120", "DELETE FROM part WHERE p_partkey >= 120 AND p_partkey < 140")
+    b = agent(e, "b", "UPDATE part SET p_size = 2 WHERE p_partkey < 160")
+    a.execute("MERGE")
+    return e.conflicts(b.execute("MERGE").report["merge"]).select("key", "reason")
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS key, 'BoundViolated' AS reason FROM part WHERE p_size < 5")
+def session_bound_recheck(spark, d):
+    """Both decrements keep the floor alone; the merged value does not."""
+    e = lake(spark, part=_part(spark, d, 10))
+    e.bounds["part", "p_size"] = (5, None)
+    a, b = (agent(e, name, "UPDATE part SET p_size = p_size - 5") for name in "ab")
+    a.execute("MERGE")
+    return e.conflicts(b.execute("MERGE").report["merge"]).select("key", "reason")
+
+
+@query("""SELECT 'part' AS tbl, CAST(p_partkey AS VARCHAR) AS key, CASE WHEN p_partkey >= 60 THEN 'DELETE' ELSE 'UPDATE' END AS kind,
+CASE WHEN p_partkey >= 60 THEN '' WHEN p_partkey < 20 THEN 'p_retailprice: Assign, p_size: Add' ELSE 'p_size: Add' END AS ops, CASE WHEN p_partkey < 10 THEN 'pending (target moved)' ELSE 'pending' END AS status
+FROM part WHERE p_partkey < 70""")
+def session_diff_ops(spark, d):
+    e = lake(spark, part=_part(spark, d))
+    a = agent(e, "a", "UPDATE part SET p_size = p_size + 1 WHERE p_partkey < 60", "UPDATE part SET p_retailprice = 0.25 WHERE p_partkey < 20", "DELETE FROM part WHERE p_partkey >= 60 AND p_partkey < 70")
+    e.connect().execute("UPDATE part SET p_size = 1000 WHERE p_partkey < 10")
+    return a.execute("DIFF").df.select("tbl", "key", "kind", F.array_join("ops", ", ").alias("ops"), "status")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_partkey >= 120 THEN 7 WHEN p_partkey >= 100 THEN 12 ELSE p_size END AS INTEGER) AS p_size, p_retailprice FROM part")
+def session_revert(spark, d):
+    """A merge is undone by the inverse of its operations, also below a later one that stays."""
+    e = lake(spark, part=_part(spark, d))
+    a = agent(e, "a", "UPDATE part SET p_size = p_size - 5 WHERE p_partkey < 120", "DELETE FROM part WHERE p_partkey < 9").execute("MERGE").report["merge"]
+    agent(e, "b", "UPDATE part SET p_size = 7 WHERE p_partkey >= 100").execute("MERGE")
+    e.connect().execute(f"REVERT MERGE {a}")
+    return e.view("part")
+
+
+@query("SELECT 'part' AS tbl, 'SchemaMismatch' AS reason, FALSE AS published, CAST(count(*) AS BIGINT) AS trunk_rows FROM part")
+def session_schema_mismatch(spark, d):
+    """The target's table was made anew with other columns while a branch worked on the old one."""
+    e = lake(spark, part=_part(spark, d))
+    a = agent(e, "a", "UPDATE part SET p_size = 1 WHERE p_partkey < 50")
+    e.connect().execute("DROP TABLE part")
+    new = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    e.load("part", new, [Field("p_partkey", "BIGINT", 0, False), Field("p_retailprice", "FLOAT")])
+    report = a.execute("MERGE").report
+    found = report["conflicts"][0]
+    return e.view("part").agg(F.lit(found["table"]).alias("tbl"), F.lit(found["reason"]).alias("reason"), F.lit(report["published"]).alias("published"), F.count("*").alias("trunk_rows"))
+
+
 # -- change feed ------------------------------------------------------------------------------------------
 
 
@@ -555,6 +649,14 @@ def cdc_cutover_exact(spark, d):
     return cdc.pump(feed, 1_000_100, {"high_water": 60, "active": {12, 13, 37}, "tables": {"t"}}).select("lsn", "txn")
 
 
+@query(f"WITH {_FEED} SELECT lsn, txn FROM f WHERE commit_lsn > 1000300")
+def cdc_snapshot_boundary(spark, d):
+    """A copy read at one position of the log, and what the feed has beyond it: what was at work then comes by the feed."""
+    changes, ends = _changes(spark, d)
+    seen = cdc.boundary(changes, ends, 1_000_300)
+    return cdc.pump(cdc.decode(changes, ends), 0, seen | {"tables": {"t"}}, cursor=0, base=0).select("lsn", "txn")
+
+
 @query(f"""WITH {_FEED}, {_LAST}, o AS (SELECT c_custkey AS key, c_acctbal AS value, 1000000 + c_custkey * 8 AS cl, c_custkey AS l, FALSE AS del FROM customer),
 j AS (SELECT coalesce(o.key, g.key) AS key, o.key IS NULL OR (g.key IS NOT NULL AND (g.commit_lsn > o.cl OR (g.commit_lsn = o.cl AND g.lsn > o.l))) AS take, g.value AS gv, o.value AS ov, g.commit_lsn AS gc, o.cl, g.lsn AS gl, o.l, g.op, o.del FROM o FULL JOIN g ON o.key = g.key)
 SELECT key, CASE WHEN take THEN gv ELSE ov END AS value, CAST(CASE WHEN take THEN gc ELSE cl END AS BIGINT) AS _commit_lsn, CAST(CASE WHEN take THEN gl ELSE l END AS BIGINT) AS _lsn, CASE WHEN take THEN op = 'DELETE' ELSE del END AS _deleted FROM j""")

@@ -66,7 +66,7 @@ class DatabaseSink:
 
     def __init__(self, connect: Callable[[], object], types: dict[str, str]):
         self.connection, self.types = connect(), types
-        self.connection.execute("CREATE TABLE IF NOT EXISTS _cdc_checkpoint (table_name VARCHAR PRIMARY KEY, commit_lsn BIGINT, record_lsn BIGINT)")
+        self.connection.execute("CREATE TABLE IF NOT EXISTS _sink_position (destination VARCHAR PRIMARY KEY, at_commit BIGINT, at_record BIGINT)")
         self.columns: dict[str, list[tuple[str, str]]] = {}
 
     def declare(self, table: str, columns: list[tuple[str, str]]) -> None:
@@ -76,13 +76,14 @@ class DatabaseSink:
             raise FeedError(f"table {table!r} has columns {self.columns[table]}, the feed declares {kinds}; drop the destination or fix the feed")
         spelled = ", ".join(f'"{c}" {t}' for c, t in kinds)
         self.connection.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({spelled}, _commit_lsn BIGINT, _lsn BIGINT, _deleted BOOLEAN, PRIMARY KEY ("{kinds[0][0]}"))')
-        there = [r[0] for r in self.connection.execute(f'SELECT * FROM "{table}" LIMIT 0').description]
-        if there != [c for c, _ in kinds] + ["_commit_lsn", "_lsn", "_deleted"]:
-            raise FeedError(f"destination {table!r} has columns {there}, the feed declares {[c for c, _ in kinds]}; drop the destination or fix the feed")
+        wanted = [*kinds, ("_commit_lsn", "BIGINT"), ("_lsn", "BIGINT"), ("_deleted", "BOOLEAN")]
+        there = [(r[1], r[2].upper()) for r in self.connection.execute(f"PRAGMA table_info('{table}')").fetchall()]
+        if there != wanted:
+            raise FeedError(f"destination {table!r} has columns {there}, the feed needs {wanted}; drop the destination or fix the feed")
         self.columns[table] = kinds
 
     def cursor(self, table: str) -> tuple[int, int] | None:
-        found = self.connection.execute("SELECT commit_lsn, record_lsn FROM _cdc_checkpoint WHERE table_name = ?", [table]).fetchone()
+        found = self.connection.execute("SELECT at_commit, at_record FROM _sink_position WHERE destination = ?", [table]).fetchone()
         return tuple(found) if found else None
 
     def apply(self, events: DataFrame, batch: int = 0) -> None:
@@ -119,7 +120,7 @@ class DatabaseSink:
                 self.connection.execute(sql, [values.get(c) for c in names] + [r["commit_lsn"], r["lsn"], r["op"] == "DELETE"])
                 top = max(filter(None, (top, (r["commit_lsn"], r["lsn"]))))
             if top is not None:
-                self.connection.execute("INSERT INTO _cdc_checkpoint VALUES (?, ?, ?) ON CONFLICT (table_name) DO UPDATE SET commit_lsn = excluded.commit_lsn, record_lsn = excluded.record_lsn", [table, *top])
+                self.connection.execute("INSERT INTO _sink_position VALUES (?, ?, ?) ON CONFLICT (destination) DO UPDATE SET at_commit = excluded.at_commit, at_record = excluded.at_record", [table, *top])
             self.connection.execute("COMMIT")
         except BaseException:
             self.connection.execute("ROLLBACK")
