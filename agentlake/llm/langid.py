@@ -1,21 +1,27 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a lower-cased word's UTF-8 bytes between two spaces, forwards and
-backwards, and gives every byte position a distribution over the languages; a document's
-distribution is the mean over all its positions.  The recurrent state begins anew at each
-word, so a word's sum of position probabilities is a function of the word, computed once
-for all its occurrences that a worker sees; pieces of WORD_BYTES bytes stand for longer
-words.  It is trained in numpy by backpropagation through time with Adam.
+The network reads the UTF-8 bytes of a whole lower-cased text, forwards and backwards, and
+gives every byte position a distribution over the languages; a document's distribution is
+the mean over all its positions.  Texts longer than a window are read in windows of WINDOW
+labelled positions that begin and end CONTEXT bytes earlier and later, so the state has
+read at least that much of both sides before it labels a position.  All windows of a block
+of texts go through the network together, a byte a step.  It is trained in numpy by
+backpropagation through time with Adam.
+
+``limit`` is chosen inside the training part: LEAST of the lowest pooled probability that a
+rightly labelled text of its validation rows has.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every
-text if there are no labelled rows; ties go to the first language in alphabetical order;
-rows are independent, further columns are ignored.
+text if there are no labelled rows; a text of any length is read whole; ties go to the
+first language in alphabetical order; rows are independent, so repeated rows get equal
+results; further columns are ignored, whatever their names (``accept`` keeps them); an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +34,18 @@ from . import common
 #: Bounds of the training sample: expected rows of each language, and the length of a text among them.
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 20_000
-#: Training words of each language, drawn by frequency.
-SAMPLE_WORDS = 12_000
-HIDDEN = 16
-WORD_BYTES = 48
+#: Training pieces of each language, and their length in bytes.
+PIECES = 6_000
+PIECE_BYTES = 64
+HIDDEN = 8
+WINDOW = 448
+CONTEXT = 32
+#: Windows that go through the network together.
+ROWS = 1024
+#: Texts whose pooled probability is below this share of the least that validation texts have are rejected.
+LEAST = 0.9
 UNKNOWN = "und"
-_WORD = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 150_000
+_LETTER = re.compile(r"[^\W\d_]")
 _SEED = 7
 
 
@@ -42,18 +53,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def pack(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of the pieces with a space on each side, padded by 0; lengths; number of each piece's word)."""
-    pieces, owner = [], []
-    for k, w in enumerate(words):
-        b = w.encode("utf-8", "surrogatepass")
-        for i in range(0, len(b), WORD_BYTES):
-            pieces.append(b" " + b[i : i + WORD_BYTES] + b" ")
-            owner.append(k)
+def spelled(text: str) -> bytes:
+    """What the network reads."""
+    return text.lower().encode("utf-8", "surrogatepass")
+
+
+def pack(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces' bytes, padded by 0; their lengths)."""
     size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
     wide = int(size.max()) if len(size) else 0
     flat = np.frombuffer(b"".join(p.ljust(wide, b"\0") for p in pieces), dtype=np.uint8)
-    return flat.reshape(len(pieces), wide), size, np.array(owner, dtype=np.int64)
+    return flat.reshape(len(pieces), wide), size
 
 
 class Network:
@@ -78,11 +88,11 @@ class Network:
         wx, wh = self.p[f"x{d}"], self.p[f"h{d}"]
         n = wh.shape[0]
         rows, wide = x.shape
-        state = np.zeros((rows, n), dtype=np.float32)
-        out, tape = np.zeros((wide, rows, n), dtype=np.float32), []
+        state = np.zeros((rows, n), dtype=wx.dtype)
+        out, tape = np.zeros((wide, rows, n), dtype=wx.dtype), []
         for t in range(wide) if d == "f" else range(wide - 1, -1, -1):
             live = (t < size)[:, None]
-            a = wx[x[:, t]]
+            a = wx.take(x[:, t], axis=0)
             b = state @ wh
             zr = _sigmoid(a[:, : 2 * n] + b[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
@@ -104,23 +114,6 @@ class Network:
         y = np.exp(y - y.max(axis=2, keepdims=True))
         return y / y.sum(axis=2, keepdims=True)
 
-    def word_sums(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word the sums of its positions' probabilities, and its number of positions."""
-        classes = self.p["c"].shape[0]
-        total, count = np.zeros((len(words), classes)), np.zeros(len(words))
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            x, size, owner = pack([words[k] for k in part])
-            if not len(size):
-                continue
-            y = self.positions(x, size)
-            live = (np.arange(x.shape[1])[:, None] < size)[:, :, None]
-            at = np.array(part)[owner]
-            np.add.at(total, at, (y * live).sum(axis=0))
-            np.add.at(count, at, size)
-        return total, count
-
     def gradients(self, x: np.ndarray, size: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy of all positions, by backpropagation through time."""
         runs = {d: self._run(x, size, d, True) for d in "fb"}
@@ -128,52 +121,152 @@ class Network:
         y = self._soft(h)
         y[:, np.arange(len(label)), label] -= 1
         live = (np.arange(x.shape[1])[:, None] < size)[:, :, None]
-        dy = (y * live / size.sum()).astype(np.float32)
-        grads = {"o": np.einsum("trh,trc->hc", h, dy), "c": dy.sum(axis=(0, 1))}
+        dy = (y * live / size.sum()).astype(self.p["o"].dtype)
+        grads = {"o": np.tensordot(h, dy, axes=((0, 1), (0, 1))), "c": dy.sum(axis=(0, 1))}
         dh = dy @ self.p["o"].T
         n = dh.shape[2] // 2
         for d, part in (("f", dh[:, :, :n]), ("b", dh[:, :, n:])):
             wh = self.p[f"h{d}"]
-            gx, gh = np.zeros_like(self.p[f"x{d}"]), np.zeros_like(wh)
-            carry = np.zeros((len(label), n), dtype=np.float32)
+            gh = np.zeros_like(wh)
+            into = np.zeros((x.shape[1], len(label), 3 * n), dtype=wh.dtype)
+            carry = np.zeros((len(label), n), dtype=wh.dtype)
             for t, state, z, r, g, bg, ok in reversed(runs[d][1]):
                 total = part[t] + carry
                 on = total * ok
                 dg = on * z * (1 - g * g)
                 dz = on * (g - state) * z * (1 - z)
                 dr = dg * bg * r * (1 - r)
-                da = np.concatenate([dz, dr, dg], axis=1)
+                into[t] = np.concatenate([dz, dr, dg], axis=1)
                 db = np.concatenate([dz, dr, dg * r], axis=1)
-                np.add.at(gx, x[:, t], da)
                 gh += state.T @ db
                 carry = total * ~ok + on * (1 - z) + db @ wh.T
+            # rows of one byte value lie together and are summed in one go
+            at = x.T.reshape(-1)
+            order = np.argsort(at, kind="stable")
+            value, first = np.unique(at[order], return_index=True)
+            gx = np.zeros_like(self.p[f"x{d}"])
+            gx[value] = np.add.reduceat(into.reshape(-1, 3 * n)[order], first, axis=0)
             grads[f"x{d}"], grads[f"h{d}"] = gx, gh
         return grads
 
 
-def train(counts: dict[str, Counter], epochs: int = 6, batch: int = 256, rate: float = 0.01) -> tuple[list[str], Network]:
-    """Train on each language's word counts; (languages, network)."""
-    langs = sorted(counts)
+class Reader:
+    """The network's forward pass over blocks of whole texts."""
+
+    def __init__(self, langs: list[str], params: dict[str, np.ndarray]):
+        self.langs = langs
+        n = params["hf"].shape[0]
+        half = np.float32(0.5)
+        gate = lambda w, k: np.ascontiguousarray(w[:, k * n : (k + 1) * n], dtype=np.float32)
+        # a gate's sigmoid is (1 + tanh(x / 2)) / 2: the inner half stands in the tables, and so does what r halves
+        self.sides = [
+            [gate(params[f"x{d}"], 0) * half, gate(params[f"x{d}"], 1) * half, gate(params[f"x{d}"], 2), gate(params[f"h{d}"], 0) * half, gate(params[f"h{d}"], 1) * half, gate(params[f"h{d}"], 2) * half, np.ascontiguousarray(o, dtype=np.float32)]
+            for d, o in (("f", params["o"][:n]), ("b", params["o"][n:]))
+        ]
+        self.bias = params["c"].astype(np.float32)
+
+    def _side(self, side: list[np.ndarray], x: np.ndarray, live: list[int]) -> np.ndarray:
+        """(steps, rows, classes): one direction's share of the classes' scores; x is (steps, rows), longer rows first."""
+        xz, xr, xg, hz, hr, hg, o = side
+        one, half = np.float32(1), np.float32(0.5)
+        state = np.zeros((x.shape[1], hz.shape[0]), dtype=np.float32)
+        out = np.zeros((*x.shape, o.shape[1]), dtype=np.float32)
+        for t, n in enumerate(live):
+            s, b = state[:n], x[t, :n].astype(np.intp)
+            r = s @ hr
+            r += xr.take(b, axis=0)
+            np.tanh(r, out=r)
+            r += one
+            r *= s @ hg
+            r += xg.take(b, axis=0)
+            np.tanh(r, out=r)
+            z = s @ hz
+            z += xz.take(b, axis=0)
+            np.tanh(z, out=z)
+            z += one
+            z *= half
+            r -= s
+            r *= z
+            s += r
+            np.matmul(s, o, out=out[t, :n])
+        return out
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the mean of its positions' distributions; zeros for an empty one."""
+        size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        total = np.zeros((len(texts), len(self.bias)))
+        if not len(flat):
+            return total
+        count = -(-size // WINDOW)
+        text = np.repeat(np.arange(len(texts)), count)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW  # of the labelled part
+        first, last = np.maximum(begin - CONTEXT, 0), np.minimum(begin + WINDOW + CONTEXT, size[text])
+        start = (np.cumsum(size) - size)[text] + first
+        order = np.argsort(first - last, kind="stable")  # the longest first
+        for i in range(0, len(order), ROWS):
+            part = order[i : i + ROWS]
+            np.add.at(total, text[part], self._rows(flat, start[part], (last - first)[part], (begin - first)[part], (np.minimum(begin + WINDOW, last) - first)[part]))
+        return total / np.maximum(size, 1)[:, None]
+
+    def _rows(self, flat: np.ndarray, start: np.ndarray, long: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each window, the longest first, the sum of the distributions of its positions from ``begin`` to ``end``."""
+        steps = int(long[0])
+        live = np.searchsorted(-long, -np.arange(steps), side="left").tolist()  # windows longer than t
+        t = np.arange(steps, dtype=np.int64)[:, None]
+        back = long - 1 - t
+        out = self._side(self.sides[1], flat.take(start + back, mode="clip"), live)
+        # the other direction's step of each position
+        out = out.reshape(-1, out.shape[2]).take(np.maximum(back, 0) * len(long) + np.arange(len(long)), axis=0)
+        out += self._side(self.sides[0], flat.take(start + t, mode="clip"), live)
+        out += self.bias
+        np.exp(np.minimum(out, 80, out=out), out=out)
+        whole = out @ np.ones((out.shape[2], 1), dtype=np.float32)
+        # padding, and what was read for context alone, has no say
+        out *= ((t >= begin) & (t < end))[:, :, None] / whole
+        return out.sum(axis=0, dtype=np.float64)
+
+    def label(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, its pooled probability) of each text."""
+        says = [bool(self.langs and _LETTER.search(t)) for t in texts]
+        pooled = self.pooled([spelled(t) for t, s in zip(texts, says, strict=True) if s])
+        best = pooled.argmax(axis=1) if len(pooled) else []
+        found = iter([(self.langs[k], float(min(p[k], 1.0))) for k, p in zip(best, pooled, strict=True)])
+        return [next(found) if s else (UNKNOWN, 0.0) for s in says]
+
+
+def pieces(texts: dict[str, list[str]]) -> tuple[list[bytes], np.ndarray]:
+    """(PIECES pieces of each language's texts, drawn by length; the number of each one's language)."""
     rng = np.random.default_rng(_SEED)
-    words, labels = [], []
-    for k, lang in enumerate(langs):
-        found = sorted(counts[lang])
-        weight = np.array([counts[lang][w] for w in found], dtype=float)
-        if len(found):
-            words += [found[i] for i in rng.choice(len(found), SAMPLE_WORDS, p=weight / weight.sum())]
-            labels += [k] * SAMPLE_WORDS
-    net = Network.fresh(len(langs))
-    labels = np.array(labels)
+    out, labels = [], []
+    for k, lang in enumerate(sorted(texts)):
+        data = [b for t in sorted(texts[lang]) if (b := spelled(t))]
+        if not data:
+            continue
+        size = np.array([len(b) for b in data], dtype=float)
+        for i in rng.choice(len(data), PIECES, p=size / size.sum()):
+            at = int(rng.integers(0, max(1, len(data[i]) - PIECE_BYTES + 1)))
+            out.append(data[i][at : at + PIECE_BYTES])
+            labels.append(k)
+    return out, np.array(labels)
+
+
+def train(texts: dict[str, list[str]], hidden: int = HIDDEN, epochs: int = 2, batch: int = 128, rate: float = 0.02) -> tuple[list[str], Network]:
+    """Train on each language's texts; (languages, network)."""
+    langs = sorted(texts)
+    data, labels = pieces(texts)
+    net = Network.fresh(len(langs), hidden)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(a) for k, a in net.p.items()}
-    step, steps = 0, epochs * (len(words) // batch + 1)
+    rng = np.random.default_rng(_SEED)
+    step, steps = 0, epochs * (len(data) // batch + 1)
     for _ in range(epochs):
-        order = rng.permutation(len(words))
+        order = rng.permutation(len(data))
         for i in range(0, len(order), batch):
             part = order[i : i + batch]
-            x, size, owner = pack([words[k] for k in part])
+            x, size = pack([data[k] for k in part])
             step += 1
-            for k, g in net.gradients(x, size, labels[part][owner]).items():
+            for k, g in net.gradients(x, size, labels[part]).items():
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.001 * (g * g - v[k])
                 move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -181,99 +274,80 @@ def train(counts: dict[str, Counter], epochs: int = 6, batch: int = 256, rate: f
     return langs, net
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, Counter]:
-    """Word counts of each language over about SAMPLE_ROWS rows of it outside the held-out part."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
+    """The texts of about SAMPLE_ROWS rows of each language outside the held-out part."""
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
     rows = rows.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & ~common.held_out("_i"))
     rows = rows.where(F.col("_i").isNotNull() & (F.length("_t") <= SAMPLE_CHARS))
     sizes = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {}
-    # a uniform number from the id decides; each language has its own share
+    # a uniform number from the row decides; each language has its own share
     u = F.pmod(F.xxhash64(F.col("_i"), F.col("_t"), F.lit(_SEED)), F.lit(1_000_000)) / 1_000_000
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, SAMPLE_ROWS / n)))), F.col("_l"))
-    out: dict[str, Counter] = {lang: Counter() for lang in sizes}
-    chosen = rows.where(u < share).select("_t", "_l").limit(4 * SAMPLE_ROWS * len(sizes))  # a row repeated without end
-    for r in chosen.toPandas().itertuples(index=False):
-        out[r[1]].update(_WORD.findall(r[0].lower()))
-    return {lang: c for lang, c in out.items() if c}
-
-
-class Labeller:
-    """Pools a worker's known words into document probabilities."""
-
-    def __init__(self, langs: list[str], net: Network):
-        self.langs, self.net = langs, net
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.sums = np.zeros((1024, len(self.langs)), dtype=np.float32)
-        self.count = np.zeros(1024, dtype=np.float32)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.place) > _CACHE_WORDS:
-            self.clear()
-        new = [w for w in words if w not in self.place]
-        if not new:
-            return
-        total, count = self.net.word_sums(new)
-        # what \\w takes besides letters has no say
-        count[[k for k, w in enumerate(new) if not w.isalpha() and not any(c.isalpha() for c in w)]] = 0
-        total[count == 0] = 0
-        first, last = len(self.place), len(self.place) + len(new)
-        while last > len(self.count):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-            self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        self.sums[first:last], self.count[first:last] = total, count
-        self.place.update(zip(new, range(first, last), strict=True))
+    chosen = rows.withColumn("_u", u).where(F.col("_u") < share).distinct()  # a row repeated without end is one
+    chosen = chosen.orderBy("_u", "_i", "_l").limit(4 * SAMPLE_ROWS * len(sizes))
+    out: dict[str, list[str]] = {lang: [] for lang in sizes}
+    for r in chosen.select("_t", "_l").toPandas().itertuples(index=False):
+        if _LETTER.search(r[0]):
+            out[r[1]].append(r[0])
+    return {lang: ts for lang, ts in out.items() if ts}
 
-    def label(self, texts: list[str]) -> list[tuple[str, float]]:
-        lists = [_WORD.findall(t.lower()) for t in texts]
-        self.learn(set().union(*lists))
-        out = []
-        for words in lists:
-            at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-            n = self.count[at].sum()
-            if not n or not self.langs:
-                out.append((UNKNOWN, 0.0))
-                continue
-            p = self.sums[at].sum(axis=0, dtype=np.float64)
-            best = int(p.argmax())
-            out.append((self.langs[best], float(p[best] / p.sum())))
-        return out
 
-
-def _labeller(langs: list[str], params: dict[str, np.ndarray]) -> Labeller:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network]:
+    """(languages, network), learned from rows outside the held-out part."""
+    texts = sample(docs, id_col, text_col, lang_col)
+    return train(texts) if texts else ([], Network.fresh(1))
+
+
+def fit_with_limit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network, float]:
+    """The same and the limit of the pooled probability; a fifth of the sampled texts is for validation alone."""
+    texts = sample(docs, id_col, text_col, lang_col)
+    aside = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0
+    seen = {lang: kept for lang, ts in texts.items() if (kept := [t for t in ts if not aside(t)])}
+    if not seen:
+        return [], Network.fresh(1), 0.0
+    langs, net = train(seen)
+    reader = Reader(langs, net.p)
+    checked = [(lang, t) for lang, ts in texts.items() for t in ts if aside(t)]
+    found = reader.label([t for _, t in checked])
+    right = [score for (lang, _), (got, score) in zip(checked, found, strict=True) if got == lang]
+    return langs, net, LEAST * min(right, default=0.0)
+
+
+def _reader(langs: list[str], params: dict[str, np.ndarray]) -> Reader:
     key = b"".join(params[k].tobytes() for k in sorted(params)) + repr(langs).encode()
-    return common.resident(("langid", key), lambda: Labeller(langs, Network(params)))
+    return common.resident(("langid", key), lambda: Reader(langs, params))
 
 
-def predict(docs: DataFrame, langs: list[str], net: Network, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per document: id, or the ``carry`` columns, and lang_pred and score."""
+def _labelled(own: Reader, texts: list) -> list[tuple[str, float]]:
+    out: list[tuple[str, float]] = []
+    for _, block in common.text_blocks([None] * len(texts), texts):
+        out += own.label(block)
+    return out
+
+
+def predict(docs: DataFrame, langs: list[str], net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, lang_pred and score."""
     spark = docs.sparkSession
     common.ship(spark)
     sent = spark.sparkContext.broadcast((langs, net.p))
-    carry = [id_col] if carry is None else carry
-    at = len(carry)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry) + ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _labeller(*sent.value)
+        own = _reader(*sent.value)
         for batch in batches:
-            found: list[tuple[str, float]] = []
-            for _, texts in common.text_blocks([None] * batch.num_rows, batch.column(at).to_pylist()):
-                found += own.label(texts)
-            columns = [*batch.columns[:at], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*carry, "lang_pred", "score"])
+            found = _labelled(own, batch.column(1).to_pylist())
+            columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score"])
 
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).alias("_text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
 
 
-def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text", min_lift: float = 1.1) -> DataFrame:
-    """The rows, all columns, that have a language: not ``und``, and a pooled probability of ``min_lift`` times chance.
+def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "text", limit: float = 0.0, lang_col: str | None = None) -> DataFrame:
+    """The rows, all columns, that have a language: not ``und``, and a pooled probability of ``limit`` at least.
 
-    If nothing or only one language was learned, probabilities reject nothing; without any, nothing is rejected.
+    ``lang_col`` names a column that then holds the predicted language.  If no language was
+    learned, nothing is rejected; with one language, all that has a letter stays.
     """
     if not langs:
         return docs
@@ -281,19 +355,16 @@ def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "tex
     common.ship(spark)
     sent = spark.sparkContext.broadcast((langs, net.p))
     at = docs.columns.index(text_col)
-    min_score = min_lift / len(langs) if len(langs) > 1 else 0.0
+    to = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _labeller(*sent.value)
+        own = _reader(*sent.value)
         for batch in batches:
-            keep: list[bool] = []
-            for _, texts in common.text_blocks([None] * batch.num_rows, batch.column(at).to_pylist()):
-                keep += [lang != UNKNOWN and score >= min_score for lang, score in own.label(texts)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            found = _labelled(own, batch.column(at).to_pylist())
+            columns = list(batch.columns)
+            if to is not None:
+                columns[to] = pa.array([lang for lang, _ in found], columns[to].type)
+            out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield out.filter(pa.array([lang != UNKNOWN and score >= limit for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network]:
-    counts = sample(docs, id_col, text_col, lang_col)
-    return train(counts) if counts else ([], Network.fresh(1))
