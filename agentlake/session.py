@@ -144,7 +144,7 @@ class Engine:
         if known and skip_present:
             rows = rows.join(self.store.read(m).select(m.key), m.key, "left_anti").dropDuplicates([m.key]).select(*m.names)
         self.connect()._check(m, rows, m.fields)
-        parts = self.store.write_part(f"data/{table}", rows, m.key, base + 1, ranged=True)
+        parts = self.store.write_part(f"data/{table}", rows, m.key, base + 1, ranged=True, indexes=m.indexes)
         if not skip_present:
             new = self.store.read(m, parts)
             twice = new.groupBy(m.key).count().where("count > 1").limit(1).count()
@@ -487,7 +487,7 @@ class Engine:
             kept = self.store.read(m, hit).join(act.select(key), key, "left_anti").select(*m.names)
             new = kept.unionByName(new)
         born = self.store.head() + 1
-        return self.store.with_parts(m, rest + self.store.write_part(f"data/{m.table}", new, key, born, ranged=True))
+        return self.store.with_parts(m, rest + self.store.write_part(f"data/{m.table}", new, key, born, ranged=True, indexes=m.indexes))
 
     def _premise(self, facts: dict) -> list[gate.Finding]:
         """Rows that the branch read by key and did not write must be on the target as they were at the fork."""
@@ -639,17 +639,20 @@ class Session:
             return self.txn["changes"][table]
         return self.store.manifest(table, self._base() if base is None else base)
 
-    def _rows(self, ref: TableRef) -> tuple[Manifest, DataFrame]:
+    def _rows(self, ref: TableRef, where: tuple | None = None) -> tuple[Manifest, DataFrame]:
         if ref.branch is not None:
             b = self.engine.branch(ref.branch)
             return self.store.manifest(ref.name, b.fork), self.engine.view(ref.name, b)
         m = self._manifest(ref.name)
-        return m, self.engine.view(ref.name, self.branch) if self.branch is not None else self.store.read(m)
+        if self.branch is not None:
+            return m, self.engine.view(ref.name, self.branch)
+        parts = [p for p in m.parts if all(p.may_hold(name, m.key, value) for name, value in _equalities(m, where))]
+        return m, self.store.read(m, parts)
 
     def _select(self, s: Statement) -> Result:
         if s.joins and any(r.branch for r in (s.source, *(j.table for j in s.joins))):
             raise BindError("AS OF BRANCH reads a single table; join the DataFrames that query() returns")
-        scope, m, df = Scope(), *self._rows(s.source)
+        scope, m, df = Scope(), *self._rows(s.source, None if s.joins else s.where)
         scope.add(s.source.alias, m.fields)
         df = df.alias(s.source.alias)
         for j in s.joins:
@@ -712,7 +715,7 @@ class Session:
             raise ConstraintError(f"key {row.first()[0]!r} is in {s.table!r} already; UPDATE it or use another key")
         if self.branch is not None:
             return self._stage(m, row, F.lit(False), {n: "S" for n in m.names[1:]}, "")
-        self._commit_parts(base, m, m.parts + self.store.write_part(f"data/{m.table}", row, m.key, base + 1))
+        self._commit_parts(base, m, m.parts + self.store.write_part(f"data/{m.table}", row, m.key, base + 1, indexes=m.indexes))
         return Result("INSERT 1", count=1)
 
     def _update(self, s: Statement) -> Result:
@@ -739,7 +742,7 @@ class Session:
         hit, rest, found = self._touched(m, pred)
         if hit:  # the other parts stay as they are
             rows = self.store.read(m, hit).alias(s.table).select(*(F.when(pred, new[n]).otherwise(column(s.table, n)).alias(n) if n in new else column(s.table, n).alias(n) for n in m.names))
-            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True))
+            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True, indexes=m.indexes))
         return Result(f"UPDATE {found}", count=found)
 
     def _touched(self, m: Manifest, pred: Column) -> tuple[list[Part], list[Part], int]:
@@ -759,7 +762,7 @@ class Session:
         hit, rest, found = self._touched(m, pred)
         if hit:
             rows = self.store.read(m, hit).alias(s.table).where(~pred).select(*m.names)
-            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True))
+            self._commit_parts(base, m, rest + self.store.write_part(f"data/{m.table}", rows, m.key, base + 1, ranged=True, indexes=m.indexes))
         return Result(f"DELETE {found}", count=found)
 
     def _charge(self, m: Manifest, before: DataFrame, after: DataFrame, names: list[str]) -> None:
@@ -820,13 +823,13 @@ class Session:
         return Result("DROP TABLE")
 
     def _create_index(self, s: Statement) -> Result:
-        """Parts keep their key ranges and Parquet its statistics; an index is recorded, not built."""
+        """An index is each part's bounds of the column; lookups by it read only the parts that can hold the value."""
         self._outside("CREATE INDEX")
         base = self._base()
         m = self.store.manifest(s.table, base)
         if s.columns[0] not in m.names:
             raise BindError(f"no column {s.columns[0]!r} in {s.table!r}; columns are {', '.join(m.names)}")
-        self.store.publish(base, {s.table: Manifest(m.table, m.fields, m.parts, [*m.indexes, s.columns[0]])})
+        self.store.publish(base, {s.table: self.store.indexed(m, s.columns[0])})
         return Result("CREATE INDEX")
 
     def _analyze(self, s: Statement) -> Result:
@@ -902,3 +905,17 @@ class Session:
         name = s.name if s.name.startswith("m_") else f"m_{s.name}"
         report = self.engine.revert(name, s.options["cascade"])
         return Result("REVERT " + ("halted" if report["halted"] else "done"), report=report)
+
+
+def _equalities(m: Manifest, where: tuple | None) -> list[tuple[str, object]]:
+    """(column, value) of the condition's parts that must all hold and compare a column with a literal of its type."""
+    if where is None:
+        return []
+    if where[0] == "and":
+        return _equalities(m, where[1]) + _equalities(m, where[2])
+    if where[0] != "=" or where[1][0] != "col" or where[2][0] not in ("num", "str"):
+        return []
+    kind, name, text = {f.name: f.type for f in m.fields}.get(where[1][2]), where[1][2], where[2][1]
+    if kind in ("INTEGER", "BIGINT", "TIMESTAMP") and where[2][0] == "num" and "." not in text:
+        return [(name, int(text))]
+    return [(name, text)] if kind == "VARCHAR" and where[2][0] == "str" else []

@@ -337,3 +337,16 @@ def test_decimals_against_float_literals_and_columns(spark, tmp_path):
     s.execute("CREATE TABLE t (id INTEGER NOT NULL, d DECIMAL, f FLOAT); INSERT INTO t VALUES (1, 0.1, 0.1); INSERT INTO t VALUES (2, 0.5, 0.5)")
     assert rows(s, "SELECT id FROM t WHERE d = f") == [(2,)]  # no double is 0.1
     assert rows(s, "SELECT id FROM t WHERE d >= 0.5") == [(2,)]
+
+
+def test_an_index_leaves_out_parts_without_the_value(engine):
+    s = engine.connect()
+    s.execute("CREATE INDEX by_free ON seats (free); INSERT INTO seats VALUES (3, 8)")
+    m = engine.store.manifest("seats")
+    assert m.indexes == ["free"] and sorted(p.bounds["free"] for p in m.parts) == [[8, 8], [8, 8], [31, 31]]
+    read = lambda text: len(s.query(text).inputFiles())
+    assert read("SELECT * FROM seats WHERE free = 8") == 2 and read("SELECT * FROM seats WHERE free = 8 AND flight = 3") == 1 and read("SELECT * FROM seats WHERE flight = 2") == 1
+    assert read("SELECT * FROM seats WHERE free = 8 OR flight = 1") == 3
+    assert rows(s, "SELECT flight FROM seats WHERE free = 8") == [(2,), (3,)] and rows(s, "SELECT * FROM seats WHERE free = 9") == []
+    s.execute("UPDATE seats SET free = 9 WHERE flight = 3")
+    assert rows(s, "SELECT flight FROM seats WHERE free = 9") == [(3,)]
