@@ -42,12 +42,10 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce('h' || sou
 l AS (SELECT DISTINCT rid, h, trim(x, sp) AS line FROM (SELECT rid, h, sp, unnest(ls) AS x FROM d) WHERE trim(x, sp) <> ''),
 t AS (SELECT h, count(*) AS total FROM d GROUP BY h),
 b AS (SELECT l.h, list(line) AS bad FROM (SELECT h, line, count(*) AS pages FROM l GROUP BY h, line) l JOIN t ON l.h = t.h
-      WHERE pages >= 10 AND pages > 0.05 * total GROUP BY l.h),
+      WHERE pages >= 2 AND pages > 0.05 * total GROUP BY l.h),
 k AS (SELECT d.*, CASE WHEN b.bad IS NULL THEN ls ELSE list_filter(ls, lambda x: NOT list_contains(b.bad, trim(x, sp))) END AS kept
-      FROM d LEFT JOIN b ON d.h = b.h),
-f AS (SELECT *, len(list_filter(kept, lambda x: trim(x, sp) <> '')) > 0 AS says FROM k)
-SELECT doc_id, CASE WHEN says THEN array_to_string(kept, chr(10)) ELSE text END AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines,
-  CAST(CASE WHEN says THEN len(ls) - len(kept) ELSE 0 END AS BIGINT) AS n_dropped FROM f
+      FROM d LEFT JOIN b ON d.h = b.h)
+SELECT doc_id, array_to_string(kept, chr(10)) AS text, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(kept), 0) AS BIGINT) AS n_dropped FROM k
 """
 
 
