@@ -73,10 +73,12 @@ d0 AS (SELECT row_number() OVER () AS rid, doc_id, {words.format("coalesce(text,
 d AS (SELECT rid, doc_id, {grams} AS g FROM d0 WHERE len(w) >= 3),
 h AS (SELECT rid, p FROM (SELECT rid, unnest(g) AS s, unnest(range(0, len(g))) AS p FROM d) WHERE s IN (SELECT DISTINCT unnest(need) FROM t)),
 v AS (SELECT DISTINCT rid, cls, p // cls - k AS j FROM h, (SELECT DISTINCT cls FROM t), (VALUES (0), (1)) AS o(k) WHERE p // cls - k >= 0),
-x AS (SELECT doc_id, license, j * v.cls AS place, len(list_intersect(need, g[j * v.cls + 1 : j * v.cls + 2 * v.cls])) / len(need) AS c
-      FROM v JOIN t ON t.cls = v.cls JOIN d ON d.rid = v.rid)
+x AS (SELECT doc_id, license, j * v.cls AS place, (j + 2) * v.cls AS stop, len(need) AS n, len(list_intersect(need, g[j * v.cls + 1 : j * v.cls + 2 * v.cls])) / len(need) AS c
+      FROM v JOIN t ON t.cls = v.cls JOIN d ON d.rid = v.rid),
+y AS (SELECT *, row_number() OVER () AS xid FROM x WHERE c >= {license_scan.CONTAINED}),
+worse AS (SELECT DISTINCT a.xid FROM y a JOIN y b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.license <> b.license AND a.place < b.stop AND b.place < a.stop AND (b.c > a.c OR (b.c = a.c AND b.n > a.n)))
 SELECT doc_id, license, CAST(max(c) AS DOUBLE) AS containment, CAST(min(place) AS BIGINT) AS first_word, CAST(count(*) AS BIGINT) AS windows
-FROM x WHERE c >= {license_scan.CONTAINED} GROUP BY doc_id, license
+FROM y WHERE xid NOT IN (SELECT xid FROM worse) GROUP BY doc_id, license
 """
 
 
