@@ -23,7 +23,9 @@ the documents of its own, so the automaton's size is bounded whatever the benchm
 Defined results: null and empty texts match nothing, nor do null items and those without a
 letter or digit; an item of one common word matches every text with that word; items with equal
 text each get their row; repeated documents each get theirs; rows are one a document
-row, item: the match of least distance, then least end; further columns are ignored.
+row, item: the match of least distance, then least end; a text of any length is searched
+whole; further columns are ignored, whatever their names (``clean`` keeps them); an empty
+table of documents gives an empty result, an empty benchmark matches nothing.
 """
 
 from __future__ import annotations
@@ -238,15 +240,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The documents, all columns, that contain no item."""
     spark = docs.sparkSession
     common.ship(spark)
-    out = docs
+    out, at = docs, docs.columns.index(text_col)
     for block in blocks(benchmark, "item_id", "text"):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own = Matcher(sent.value)
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                texts = batch.column(at).to_pylist()
                 yield batch.filter(pa.array([not (t and own.match(t)) for t in texts], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
+        out = common.map_rows(out, run)
     return out

@@ -7,9 +7,12 @@ unite postings, and only the candidates are searched with the regex.  A rule wit
 mandatory trigrams is searched in every document.  The index answers "may match", so the
 spans are the same as those of searching all texts.
 
-Defined results: a null text is empty and has no spans; rows are independent; further
-columns are ignored; matches of one kind do not overlap and run from left to right;
-positions are code points, the end exclusive.
+Defined results: a null text is empty and has no spans; a text of any length is scanned
+whole, in a block of its own; rows are independent, so repeated rows give repeated results;
+matches of one kind do not overlap and run from left to right, those of several kinds may;
+at equal starts they stand in the order of the rules; positions are code points, the end
+exclusive; further columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

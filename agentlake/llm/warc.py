@@ -6,10 +6,16 @@ its record id, name its target and date, and carry its digests and HTTP headers;
 metadata record also names the conversion record.  Record ids are name-based UUIDs of the
 source's id, so a rerun or a lost executor makes the same records again.
 
+Header names are compared without regard to case, as the format has it, and a header that
+comes several times is kept with all its values, in the source's order.
+
 Defined results: a null page is an empty payload, with an empty conversion record; a null
 address gives no WARC-Target-URI; a record that cannot be parsed or is no response gives
-one metadata record that says so and no conversion; repeated rows give repeated records
-with equal ids; further columns are ignored; an empty table gives an empty result.
+one metadata record that says so and no conversion; a page of any length is converted
+whole; rows are independent, so there are no ties; a record id names the page's id, address
+and content, so equal rows are one record twice, with equal derivatives, and different
+pages never share one; further columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,22 +57,41 @@ def _one_line(value: str) -> str:
     return value.replace("\r", " ").replace("\n", " ")
 
 
-def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+class Headers(list):
+    """(name, value) pairs in order; looked up by name in any case, the first of several."""
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in self if k.lower() == name.lower()), default)
+
+    def __getitem__(self, name):
+        if not isinstance(name, str):
+            return super().__getitem__(name)
+        if (found := self.get(name)) is None:
+            raise KeyError(name)
+        return found
+
+
+def pairs(lines: list[str], strict: bool) -> Headers:
+    """Header lines as pairs; a line that begins with white space goes on with the one before."""
+    out = Headers()
+    for line in lines:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}".strip())
+        elif colon:
+            out.append((name.strip(), value.strip()))
+        elif strict:
+            raise ValueError("header line without a colon")
+    return out
+
+
+def parse(record: bytes) -> tuple[Headers, bytes]:
     """(headers, block) of a record; ValueError if it is none."""
     head, found, rest = record.partition(b"\r\n\r\n")
     lines = head.decode("utf-8", "replace").split("\r\n")
     if not found or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers: dict[str, str] = {}
-    last = ""
-    for line in lines[1:]:
-        if line[:1] in " \t" and last:
-            headers[last] += " " + line.strip()
-        else:
-            last, colon, value = line.partition(":")
-            if not colon:
-                raise ValueError("header line without a colon")
-            headers[last] = value.strip()
+    headers = pairs(lines[1:], strict=True)
     size = int(headers.get("Content-Length", ""))
     if size < 0 or len(rest) < size:
         raise ValueError("block shorter than Content-Length")
@@ -77,7 +102,7 @@ def response(page_id: object, url: str | None, page: str | None, date: str = DAT
     """A response record of a page as an HTTP message."""
     payload = (page or "").encode("utf-8", "surrogatepass")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "")), ("WARC-Date", date)]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", str(page_id), url or "", digest(payload))), ("WARC-Date", date)]
     headers += [("WARC-Target-URI", url)] * (url is not None)
     headers += [("WARC-Block-Digest", digest(http)), ("WARC-Payload-Digest", digest(payload)), ("Content-Type", "application/http; msgtype=response")]
     return serialize(headers, http)
@@ -114,16 +139,16 @@ def derive(record: bytes | None) -> list[dict]:
     try:
         headers, block = parse(record or b"")
         source = headers.get("WARC-Record-ID", "")
-        if headers.get("WARC-Type") != "response":
+        if (headers.get("WARC-Type") or "").lower() != "response":
             raise ValueError(f"no response but {headers.get('WARC-Type') or 'untyped'}")
     except ValueError as e:
         source = record_id("unparsed", hashlib.sha256(record or b"").hexdigest())
         return [_made("metadata", source, None, None, None, f"error: {e}\r\n", "application/warc-fields", [])]
     head, _, payload = block.partition(b"\r\n\r\n")
     status, *lines = head.decode("iso-8859-1").split("\r\n")
-    http = [(k.strip(), v.strip()) for k, c, v in (x.partition(":") for x in lines) if c]
-    kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    charset = re.search(r"charset=[\"']?([\w.:-]+)", kind)
+    http = pairs(lines, strict=False)
+    kind = http.get("Content-Type", "")
+    charset = re.search(r"charset=[\"']?([\w.:-]+)", kind, re.I)
     try:
         page = payload.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
@@ -133,7 +158,7 @@ def derive(record: bytes | None) -> list[dict]:
     payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
     conversion = record_id("conversion", source)
     known = [("Source-Block-Digest", headers.get("WARC-Block-Digest") or digest(block)), ("Source-Payload-Digest", payload_digest)]
-    fields = [("source-record-id", source), *((f"source-{k.lower()}", v) for k, v in headers.items()), ("http-status", status), *((f"http-{k.lower()}", v) for k, v in http), ("conversion-record-id", conversion), ("text-digest", digest(text.encode("utf-8", "surrogatepass")))]
+    fields = [("source-record-id", source), *((f"source-{k.lower()}", v) for k, v in headers), ("http-status", status), *((f"http-{k.lower()}", v) for k, v in http), ("conversion-record-id", conversion), ("text-digest", digest(text.encode("utf-8", "surrogatepass")))]
     body = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields)
     return [
         _made("metadata", source, url, date, payload_digest, body, "application/warc-fields", [*known, ("WARC-Concurrent-To", conversion)]),
