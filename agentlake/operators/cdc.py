@@ -28,6 +28,20 @@ def open_transactions(changes: DataFrame, ends: DataFrame) -> DataFrame:
     return changes.join(ends.select("txn").distinct(), "txn", "left_anti").groupBy("txn").agg(F.min("lsn").alias("first_lsn"))
 
 
+def decode_report(changes: DataFrame, ends: DataFrame, tables: list[str]) -> DataFrame:
+    """One row of counts: events that decoding emits, withholds (open), discards (aborted), and that no declared table has or nothing can be read of."""
+    state = changes.join(ends.select("txn", F.col("op").alias("_end")).distinct(), "txn", "left")
+    known, readable = F.col("tbl").isin(tables), F.col("op").isin(*OPS) & F.col("key").isNotNull()
+    done = F.col("_end") == "COMMIT"
+    return state.agg(
+        F.count_if(done & known & readable).alias("emitted"),
+        F.count_if(F.col("_end").isNull()).alias("withheld"),
+        F.count_if(F.col("_end") == "ABORT").alias("discarded"),
+        F.count_if(done & ~known).alias("unknown_table"),
+        F.count_if(done & known & ~F.coalesce(readable, F.lit(False))).alias("undecodable"),
+    )
+
+
 def next_cursor(cursor: int, decoded: DataFrame, opened: DataFrame) -> int:
     """min(max(cursor, greatest commit end), earliest open record)."""
     top = decoded.agg(F.max("commit_end_lsn")).first()[0]

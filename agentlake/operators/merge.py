@@ -209,6 +209,18 @@ def orset_merge(inserts: DataFrame, removes: DataFrame) -> DataFrame:
     return inserts.join(removes.select("key", "dot").distinct(), ["key", "dot"], "left_anti").select("key", "elem").distinct()
 
 
+def compose_sets(ops: DataFrame) -> DataFrame:
+    """(key, col, elem, outcome) of set-valued cells: what either side inserted and neither removed by its dot; both sides' operations commute.
+
+    ``ops`` (side, key, col, act, elem, dot) with act Insert or Remove.  A cell of which
+    nothing is left has one row with a null elem.
+    """
+    sides = ops.groupBy("key", "col").agg(F.when(F.min("side") == F.max("side"), CLEAN).otherwise(COMMUTING).alias("outcome"))
+    gone = ops.where("act = 'Remove'").select("key", "col", "dot").distinct()
+    left = ops.where("act = 'Insert'").join(gone, ["key", "col", "dot"], "left_anti").select("key", "col", "elem").distinct()
+    return sides.join(left, ["key", "col"], "left").select("key", "col", "elem", "outcome")
+
+
 def inverse_ops(ops: DataFrame) -> DataFrame:
     """What undoes operations: Add by its negative, Assign by its witness, a row's creation by its deletion and back.
 

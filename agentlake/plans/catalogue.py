@@ -454,6 +454,19 @@ def orset_merge(spark, d):
     return merge.orset_merge(e.where("dot % 2 = 0"), e.where("dot % 5 = 0"))
 
 
+@query("""WITH o AS (SELECT user_id AS key, event_type AS elem, event_id AS dot, CASE WHEN event_id % 2 = 0 THEN 'ours' ELSE 'theirs' END AS side, 'Insert' AS act FROM events
+UNION ALL SELECT user_id, NULL, event_id, 'theirs', 'Remove' FROM events WHERE event_id % 3 = 0),
+s AS (SELECT key, CASE WHEN count(DISTINCT side) > 1 THEN 'Commuting' ELSE 'Clean' END AS outcome FROM o GROUP BY key),
+l AS (SELECT DISTINCT key, elem FROM o WHERE act = 'Insert' AND dot % 3 <> 0)
+SELECT s.key, l.elem, s.outcome FROM s LEFT JOIN l ON s.key = l.key""")
+def merge_set_union(spark, d):
+    """Both sides insert into a set-valued column, one also removes what it saw."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("key"), F.lit("tags").alias("col"), F.col("event_type").alias("elem"), F.col("event_id").alias("dot"))
+    inserts = e.withColumn("side", F.when(F.col("dot") % 2 == 0, merge.OURS).otherwise(merge.THEIRS)).withColumn("act", F.lit("Insert"))
+    removes = e.where("dot % 3 = 0").withColumn("elem", F.lit(None).cast("string")).withColumn("side", F.lit(merge.THEIRS)).withColumn("act", F.lit("Remove"))
+    return merge.compose_sets(inserts.unionByName(removes)).select("key", "elem", "outcome")
+
+
 # -- provenance ---------------------------------------------------------------------------------------
 
 
@@ -629,6 +642,14 @@ def cdc_commit_order(spark, d):
     return cdc.commit_order(cdc.decode(*_changes(spark, d))).select("lsn", "txn", "op", "commit_lsn", "position")
 
 
+@query(f"""WITH {_FEED}, k AS (SELECT ch.txn, lsn % 13 <> 0 AS known, e.txn IS NULL AS opened, ch.txn % 5 = 0 AS aborted FROM ch LEFT JOIN (SELECT txn FROM en WHERE txn % 11 <> 0) e ON e.txn = ch.txn)
+SELECT CAST(count(*) FILTER (WHERE NOT opened AND NOT aborted AND known) AS BIGINT) AS emitted, CAST(count(*) FILTER (WHERE opened) AS BIGINT) AS withheld,
+CAST(count(*) FILTER (WHERE NOT opened AND aborted) AS BIGINT) AS discarded, CAST(count(*) FILTER (WHERE NOT opened AND NOT aborted AND NOT known) AS BIGINT) AS unknown_table, CAST(0 AS BIGINT) AS undecodable FROM k""")
+def cdc_decode_report(spark, d):
+    changes, ends = _changes(spark, d)
+    return cdc.decode_report(changes.withColumn("tbl", F.when(F.col("lsn") % 13 == 0, "dropped").otherwise("t")), ends, ["t"])
+
+
 @query(f"WITH {_FEED} SELECT txn, CAST(min(lsn) AS BIGINT) AS first_lsn FROM ch WHERE txn % 11 = 0 GROUP BY txn")
 def cdc_aborted_open(spark, d):
     return cdc.open_transactions(*_changes(spark, d))

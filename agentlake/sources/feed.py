@@ -90,7 +90,76 @@ def dump(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(encoded(columns).alias("value"))
 
 
-def follow(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """Events from a TCP feed as a stream; the socket source has no replay, so use files where a cursor must survive."""
-    lines = spark.readStream.format("socket").option("host", host).option("port", port).load()
+def follow(spark: SparkSession, host: str, port: int, cursor: int = 0, idle: float = 1.0) -> DataFrame:
+    """Events of a TCP feed as a stream: each batch connects, sends the cursor as a line and takes what comes.
+
+    The offset is the last commit's end, kept by the stream's checkpoint; a batch that is
+    repeated asks the feed again from its old cursor.  ``idle`` seconds without a line end
+    a batch; a commit's lines are sent together.
+    """
+    spark.dataSource.register(_tcp_source())
+    lines = spark.readStream.format("agentlake_tcp_feed").option("host", host).option("port", str(port)).option("cursor", str(cursor)).option("idle", str(idle)).load()
     return _refused(events_of(lines))
+
+
+def _tcp_source() -> type:
+    """The source's class, made here so that workers get it whole."""
+    import json
+    import socket
+
+    from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+
+    class Reader(SimpleDataSourceStreamReader):
+        def __init__(self, options: dict):
+            self.at = (options["host"], int(options["port"]))
+            self.first, self.idle = int(options.get("cursor", "0")), float(options.get("idle", "1"))
+
+        def initialOffset(self) -> dict:
+            return {"cursor": self.first}
+
+        def read(self, start: dict):
+            lines = self._lines(start["cursor"], None)
+            ends = [e for _, e in lines if e is not None]
+            return iter([(line,) for line, _ in lines]), {"cursor": max([start["cursor"], *ends])}
+
+        def readBetweenOffsets(self, start: dict, end: dict):
+            return iter([(line,) for line, _ in self._lines(start["cursor"], end["cursor"])])
+
+        def _lines(self, cursor: int, until: int | None) -> list[tuple[str, int | None]]:
+            """(line, the end of its commit); a line that is no event comes as it is, to be refused."""
+            out: list[tuple[str, int | None]] = []
+            with socket.create_connection(self.at, timeout=30) as connection:
+                connection.sendall(f"{cursor}\n".encode())
+                connection.settimeout(self.idle)
+                rest = b""
+                while True:
+                    try:
+                        got = connection.recv(1 << 16)
+                    except TimeoutError:
+                        break
+                    if not got:
+                        break
+                    *whole, rest = (rest + got).split(b"\n")
+                    for line in filter(None, whole):
+                        text = line.decode("utf-8", "replace")
+                        try:
+                            end = int(json.loads(text)["commit_end_lsn"])
+                        except (ValueError, KeyError, TypeError):
+                            end = None
+                        if until is not None and end is not None and end > until:
+                            return out
+                        out.append((text, end))
+            return out
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "agentlake_tcp_feed"
+
+        def schema(self) -> str:
+            return "value string"
+
+        def simpleStreamReader(self, schema) -> Reader:
+            return Reader(self.options)
+
+    return Source

@@ -113,3 +113,66 @@ def test_upsert_converges_in_any_order(spark, ops, rng):
         want[k] = None if op == "DELETE" else v
     got = {r["key"]: None if r["_deleted"] else r["value"] for r in out.collect()}
     assert got == want
+
+
+def test_tcp_feed_goes_on_from_its_cursor(spark, tmp_path):
+    import socketserver
+    import threading
+
+    lines = [(k, f'{{"table":"t","op":"INSERT","txn":{k},"lsn":{k * 10},"commit_lsn":{k * 10 + 1},"commit_end_lsn":{k * 10 + 2},"before":null,"after":"{{}}"}}') for k in range(1, 7)]
+    asked, most = [], [3]
+
+    class Serve(socketserver.StreamRequestHandler):
+        def handle(self):
+            cursor = int(self.rfile.readline())
+            asked.append(cursor)
+            for k, line in lines[: most[0]]:
+                if k * 10 + 2 > cursor:
+                    self.wfile.write(f"{line}\n".encode())
+
+    with socketserver.ThreadingTCPServer(("127.0.0.1", 0), Serve) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        seen = []
+
+        def once():
+            stream = feed.follow(spark, "127.0.0.1", server.server_address[1], idle=0.3)
+            run = stream.writeStream.foreachBatch(lambda df, _: seen.extend(r["txn"] for r in df.collect())).option("checkpointLocation", f"{tmp_path}/cp").start()
+            try:
+                run.processAllAvailable()
+            finally:
+                run.stop()
+
+        once()
+        assert sorted(seen) == [1, 2, 3]
+        most[0] = 6
+        once()  # a new query with the old checkpoint
+        assert sorted(seen) == [1, 2, 3, 4, 5, 6] and 0 in asked and 32 in asked
+        server.shutdown()
+
+
+def test_streams_refuse_or_keep_malformed_lines(spark, tmp_path):
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "a").write_text('{"table":"t","op":"INSERT","txn":1,"lsn":1,"commit_lsn":2,"commit_end_lsn":3,"before":null,"after":"{}"}\nnot json\n')
+    run = lambda df, n: df.writeStream.format("memory").queryName(n).option("checkpointLocation", f"{tmp_path}/{n}").trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="no event"):
+        run(feed.stream_feed(spark, f"file://{tmp_path}/feed"), "refused").awaitTermination()
+    run(feed.stream_feed(spark, f"file://{tmp_path}/feed", keep_corrupt=True), "kept").awaitTermination()
+    assert spark.table("kept").where("_corrupt is not null").count() == 1 and spark.table("kept").count() == 2
+
+
+def test_fractions_in_the_precision_report(spark):
+    texts = ["0.1", "0.10", "2.5", "1e5", "0.12345678901234567890", "123456789.123456789", "-0.001", "12345678901234567890.5"]
+    df = spark.createDataFrame([(f'{{"x":{t}}}',) for t in texts], "j string")
+    r = cdc.precision_report(df, "j", ["x"]).first()
+    assert (r["strings"], r["numbers"], r["lossy"]) == (0, 8, 3)
+
+
+def test_sink_refuses_a_destination_of_other_types(tmp_path):
+    import duckdb
+
+    duckdb.connect(f"{tmp_path}/d.db").execute('CREATE TABLE t (id VARCHAR PRIMARY KEY, v BIGINT, _commit_lsn BIGINT, _lsn BIGINT, _deleted BOOLEAN)').close()
+    sink = sinks.duckdb_sink(f"{tmp_path}/d.db")
+    with pytest.raises(FeedError, match="drop the destination"):
+        sink.declare("t", [("id", "INTEGER"), ("v", "BIGINT")])
+    with pytest.raises(FeedError, match="what lies between is lost"):
+        cdc.pump(None, 0, cursor=5, base=9)
