@@ -350,3 +350,14 @@ def test_an_index_leaves_out_parts_without_the_value(engine):
     assert rows(s, "SELECT flight FROM seats WHERE free = 8") == [(2,), (3,)] and rows(s, "SELECT * FROM seats WHERE free = 9") == []
     s.execute("UPDATE seats SET free = 9 WHERE flight = 3")
     assert rows(s, "SELECT flight FROM seats WHERE free = 9") == [(3,)]
+
+
+def test_a_feed_of_many_commits_is_written_in_between(engine, monkeypatch):
+    from agentlake.operators import cdc
+    from agentlake.sources import store
+
+    monkeypatch.setattr(store, "COMMITS_A_PLAN", 2)
+    s = engine.connect()
+    for k in range(3):
+        s.execute(f"UPDATE seats SET free = {k} WHERE flight = 1")
+    assert sorted((r["key"], r["after"]) for r in cdc.fold(engine.store.changes(0), "key", ["after"]).collect()) == [("1", '{"flight":1,"free":2}'), ("2", '{"flight":2,"free":8}')]
