@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -17,11 +18,23 @@ T = TypeVar("T")
 #: Python operators work on blocks of about this many characters, so that a worker's
 #: memory follows the block (or one long document), not the Arrow batch.
 BLOCK_CHARS = 1 << 20
+#: Rows of a few numbers each that are written as one file.
+ROWS_A_FILE = 250_000
+ARROW_ROWS = 2_000
+ARROW_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of every executor (once a context)."""
+    """Make this package importable by the Python workers of every executor (once a context), and bound their batches.
+
+    Texts can be long, so the default of 10,000 rows a batch is no bound of memory; a session
+    that has not chosen otherwise gets ARROW_ROWS and ARROW_BYTES.
+    """
     sc = spark.sparkContext
+    for key, default, value in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", "67108864b", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not sc.getConf().contains(key) and spark.conf.get(key, default) == default:
+            spark.conf.set(key, str(value))
     if getattr(sc, "_agentlake_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
@@ -41,18 +54,30 @@ def shared_dir(spark: SparkSession) -> str:
     if found := sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):  # local-cluster has executors of their own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="agentlake-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage, in shared storage that outlives executors."""
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Compute once and cut the lineage, in shared storage that outlives executors.
+
+    ``rows``, where it is known what there are at most, spares small tables a file for each
+    of the session's shuffle partitions.
+    """
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 
+def map_rows(docs: DataFrame, run: Callable[[Iterator], Iterator]) -> DataFrame:
+    """``mapInArrow`` over all columns, which keep their names, whatever characters those have; ``run`` goes by position."""
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the rows that no model may learn from: crc32(id as text) mod 3 is 1; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

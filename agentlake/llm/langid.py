@@ -367,4 +367,4 @@ def accept(docs: DataFrame, langs: list[str], net: Network, text_col: str = "tex
             out = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield out.filter(pa.array([lang != UNKNOWN and score >= limit for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)

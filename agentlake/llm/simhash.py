@@ -228,20 +228,24 @@ def _grouped_edges(dealt: DataFrame) -> DataFrame:
 
 
 def _spread(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    """The join of rows, many of which may have one ``key``, with a table that has each key once."""
+    """The join of rows, many of which may have one ``key``, with a table that has each key once.
+
+    By sorting, never by broadcasting the rows: then those of one key would all lie where the table has it.
+    """
     salted = table.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def components(edges_: DataFrame) -> DataFrame:
     """(fp, root): each node of the edges and the smallest node that it is connected with."""
     links = common.materialize(edges_.select("a", "b").union(edges_.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.materialize(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "fp"))
+    count = links.count()
+    labels = common.materialize(links.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "fp"), count)
     for _ in range(_MAX_ROUNDS):
         near = links.join(labels.withColumnRenamed("fp", "b"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("root").alias("near"))
-        hooked = common.materialize(labels.join(near, "fp").select("fp", F.least("root", "near").alias("next"), F.col("root").alias("old")))
+        hooked = common.materialize(labels.join(near, "fp").select("fp", F.least("root", "near").alias("next"), F.col("root").alias("old")), count)
         jump = hooked.select("next").distinct().join(hooked.select(F.col("fp").alias("next"), F.col("next").alias("far")), "next")
-        new = common.materialize(_spread(hooked, jump, "next", "fp").select("fp", F.least("next", "far").alias("root"), "old"))
+        new = common.materialize(_spread(hooked, jump, "next", "fp").select("fp", F.least("next", "far").alias("root"), "old"), count)
         labels = new.select("fp", "root")
         if not new.where("root <> old").limit(1).count():
             return labels
@@ -251,11 +255,12 @@ def components(edges_: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, h, fp, root (the class) and component_id, the smallest id that its fingerprint's links reach."""
     found = common.materialize(fingerprints(docs, id_col, text_col))
-    nodes = common.materialize(found.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
+    rows = found.count()
+    nodes = common.materialize(found.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), rows)
     linked = nodes.join(components(edges(nodes)), "fp").select("fp", "least", "root")
     named = _spread(linked, linked.groupBy("root").agg(F.min("least").alias("name")), "root", "fp").select("fp", "root", "name")
     placed = nodes.join(named, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
-    placed = common.materialize(placed)
+    placed = common.materialize(placed, rows)
     hot = placed.where(F.col("n") > HOT_ROWS).drop("n")
     count = hot.count()
     if not 0 < count <= BROADCAST_ROWS:
@@ -273,7 +278,7 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     out = out.join(keep.distinct().hint("shuffle_hash"), out[id_col].eqNullSafe(F.col("__al_i")) & (F.col("__al_t") == F.col("__al_h")), "left_semi")
     if found.groupBy(id_col, "h").count().where("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col, "__al_t"])  # repeated rows
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hex16(fp: Column) -> Column:
