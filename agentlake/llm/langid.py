@@ -8,8 +8,14 @@ read at least that much of both sides before it labels a position.  All windows
 of texts go through the network together, a byte a step.  It is trained in numpy by
 backpropagation through time with Adam.
 
-``limit`` is chosen inside the training part: LEAST of the lowest pooled probability that a
-rightly labelled text of its validation rows has.
+``fit`` trains on pieces of a bounded sample.  ``fit_with_limit`` only starts so: then every
+byte of every text of the training part goes through backpropagation, in shards of about
+SHARD_BYTES that are trained side by side and averaged by their bytes; each language weighs
+the same, by its bytes in all texts.  A shard's rows and their order follow from the rows'
+hashes, not from how the table is stored; a repeated row is one there.  A fifth of the training
+part, by the texts' CRC, is for validation alone, and ``limit`` is LEAST of the lowest
+pooled probability that a rightly labelled text among all of those has; a language of
+validation texts alone is not learned.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every
 text if there are no labelled rows; a text of any length is read whole; ties go to the
@@ -21,7 +27,6 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,10 @@ CONTEXT = 32
 ROWS = 1024
 #: Texts whose pooled probability is below this share of the least that validation texts have are rejected.
 LEAST = 0.9
+#: Bytes of training texts that one task learns after the other, expected; pieces of a step there, and its first rate.
+SHARD_BYTES = 4 << 20
+STEP_PIECES = 256
+RATE = 0.005
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _SEED = 7
@@ -114,14 +123,17 @@ class Network:
         y = np.exp(y - y.max(axis=2, keepdims=True))
         return y / y.sum(axis=2, keepdims=True)
 
-    def gradients(self, x: np.ndarray, size: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy of all positions, by backpropagation through time."""
+    def gradients(self, x: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of all positions, each with its row's weight, by backpropagation through time."""
         runs = {d: self._run(x, size, d, True) for d in "fb"}
         h = np.concatenate([runs["f"][0], runs["b"][0]], axis=2)
         y = self._soft(h)
         y[:, np.arange(len(label)), label] -= 1
         live = (np.arange(x.shape[1])[:, None] < size)[:, :, None]
-        dy = (y * live / size.sum()).astype(self.p["o"].dtype)
+        if weight is None:
+            dy = (y * live / size.sum()).astype(self.p["o"].dtype)
+        else:
+            dy = (y * live * (weight / (size * weight).sum())[:, None]).astype(self.p["o"].dtype)
         grads = {"o": np.tensordot(h, dy, axes=((0, 1), (0, 1))), "c": dy.sum(axis=(0, 1))}
         dh = dy @ self.p["o"].T
         n = dh.shape[2] // 2
@@ -256,24 +268,50 @@ def train(texts: dict[str, list[str]], hidden: int = HIDDEN, epochs: int = 2, ba
     langs = sorted(texts)
     data, labels = pieces(texts)
     net = Network.fresh(len(langs), hidden)
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(a) for k, a in net.p.items()}
     rng = np.random.default_rng(_SEED)
-    step, steps = 0, epochs * (len(data) // batch + 1)
-    for _ in range(epochs):
-        order = rng.permutation(len(data))
-        for i in range(0, len(order), batch):
-            part = order[i : i + batch]
-            x, size = pack([data[k] for k in part])
-            step += 1
-            for k, g in net.gradients(x, size, labels[part]).items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.001 * (g * g - v[k])
-                move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-                net.p[k] -= (rate * (1 - step / (steps + 1)) * move).astype(np.float32)
+
+    def batches() -> Iterator[tuple[np.ndarray, ...]]:
+        for _ in range(epochs):
+            order = rng.permutation(len(data))
+            for i in range(0, len(order), batch):
+                part = order[i : i + batch]
+                yield *pack([data[k] for k in part]), labels[part]
+
+    descend(net, batches(), epochs * (len(data) // batch + 1), rate)
     return langs, net
 
 
+def descend(net: Network, batches: Iterator[tuple[np.ndarray, ...]], steps: int, rate: float) -> None:
+    """Adam, a step for each batch (arguments of ``gradients``), with a rate that falls to nothing."""
+    m = {k: np.zeros_like(v) for k, v in net.p.items()}
+    v = {k: np.zeros_like(a) for k, a in net.p.items()}
+    for step, batch in enumerate(batches, 1):
+        for k, g in net.gradients(*batch).items():
+            m[k] += 0.1 * (g - m[k])
+            v[k] += 0.001 * (g * g - v[k])
+            move = (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+            net.p[k] -= (rate * (1 - step / (steps + 1)) * move).astype(np.float32)
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte of the texts in pieces one after the other: (the pieces, padded by 0; their lengths; the number of each one's text)."""
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    count = -(-size // PIECE_BYTES)
+    text = np.repeat(np.arange(len(texts)), count)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    flat = np.frombuffer(b"".join(t.ljust(n * PIECE_BYTES, b"\0") for t, n in zip(texts, count.tolist(), strict=True)), dtype=np.uint8)
+    return flat.reshape(-1, PIECE_BYTES), np.minimum(size[text] - place * PIECE_BYTES, PIECE_BYTES), text
+
+
+def refine(net: Network, texts: list[bytes], labels: list[int], weight: np.ndarray) -> None:
+    """Train ``net`` on every byte of the texts once; ``weight`` has one number for each language."""
+    x, size, text = cut(texts)
+    label = np.array(labels, dtype=np.int64)[text]
+    order = np.random.default_rng(_SEED).permutation(len(x))
+    parts = [order[i : i + STEP_PIECES] for i in range(0, len(order), STEP_PIECES)]
+    descend(net, ((x[p], size[p], label[p], weight[label[p]]) for p in parts), len(parts), RATE)
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """The texts of about SAMPLE_ROWS rows of each language outside the held-out part."""
     rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
@@ -301,18 +339,94 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def fit_with_limit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], Network, float]:
-    """The same and the limit of the pooled probability; a fifth of the sampled texts is for validation alone."""
-    texts = sample(docs, id_col, text_col, lang_col)
-    aside = lambda t: zlib.crc32(t.encode("utf-8", "surrogatepass")) % 5 == 0
-    seen = {lang: kept for lang, ts in texts.items() if (kept := [t for t in ts if not aside(t)])}
-    if not seen:
+    """(languages, network, limit of the pooled probability), learned from all rows outside the held-out part."""
+    rows = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_l"))
+    rows = rows.where(F.col("_l").isNotNull() & F.col("_t").isNotNull() & F.col("_i").isNotNull() & ~common.held_out("_i"))
+    aside = F.crc32(F.col("_t").cast("binary")) % 5 == 0
+    seen = rows.where(~aside).withColumn("_h", F.xxhash64("_i", "_t", "_l"))
+    sizes = spelled_bytes(seen)
+    if not sizes:
         return [], Network.fresh(1), 0.0
-    langs, net = train(seen)
-    reader = Reader(langs, net.p)
-    checked = [(lang, t) for lang, ts in texts.items() for t in ts if aside(t)]
-    found = reader.label([t for _, t in checked])
-    right = [score for (lang, _), (got, score) in zip(checked, found, strict=True) if got == lang]
-    return langs, net, LEAST * min(right, default=0.0)
+    start = sample(seen.withColumn("_t", F.substring("_t", 1, SAMPLE_CHARS)), "_i", "_t", "_l")
+    langs, net = train({lang: start.get(lang, []) for lang in sizes})
+    net = train_on_all(seen, langs, net, sizes)
+    return langs, net, LEAST * least_right(rows.where(aside), langs, net)
+
+
+def spelled_bytes(rows: DataFrame) -> dict[str, int]:
+    """The bytes that the network reads of each language's distinct rows (_h, _t, _l); texts without a letter have no say."""
+    common.ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = [len(spelled(t)) if _LETTER.search(t) else None for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size, pa.int64())], names=["_h", "_l", "n"])
+
+    found = rows.select("_h", "_t", "_l").mapInArrow(run, "_h long, _l string, n long").where("n is not null").distinct()
+    return {r["_l"]: r["n"] for r in found.groupBy("_l").agg(F.sum("n").alias("n")).collect()}
+
+
+def train_on_all(rows: DataFrame, langs: list[str], net: Network, sizes: dict[str, int]) -> Network:
+    """``net`` trained on every text of ``rows`` (_h, _t, _l): the mean, by bytes, of what it becomes in each shard."""
+    spark = rows.sparkSession
+    common.ship(spark)
+    total = sum(sizes.values())
+    weight = np.array([total / (len(langs) * sizes[lang]) for lang in langs])
+    names, shard_bytes = sorted(net.p), SHARD_BYTES
+    sent = spark.sparkContext.broadcast((langs, net.p, weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, params, weight = sent.value
+        own = Network({k: v.copy() for k, v in params.items()})
+        number = {lang: k for k, lang in enumerate(langs)}
+        texts, labels, held, done, last = [], [], 0, 0, None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row == last or not _LETTER.search(row[1]):
+                    continue
+                last = row
+                texts.append(spelled(row[1]))
+                labels.append(number[row[2]])
+                held += len(texts[-1])
+                if held > 4 * shard_bytes:  # long texts can make a shard much larger than others
+                    refine(own, texts, labels, weight)
+                    texts, labels, held, done = [], [], 0, done + held
+        if held:
+            refine(own, texts, labels, weight)
+        if done + held:
+            flat = b"".join(own.p[k].tobytes() for k in names)
+            yield pa.RecordBatch.from_arrays([pa.array([flat], pa.binary()), pa.array([done + held], pa.int64())], names=["params", "n"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, count = 0.0, 0
+        for batch in batches:
+            for flat, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                whole, count = whole + np.frombuffer(flat, dtype=np.float32).astype(float) * n, count + n
+        if count:
+            yield pa.RecordBatch.from_arrays([pa.array([(whole / count).tobytes()], pa.binary())], names=["params"])
+
+    dealt = rows.select("_h", "_t", "_l").repartition(-(-total // SHARD_BYTES), "_h").sortWithinPartitions("_h", "_t", "_l")
+    shards = dealt.mapInArrow(run, "params binary, n long").repartition(1).sortWithinPartitions("params")  # one order of summation
+    found = np.frombuffer(shards.mapInArrow(mean, "params binary").collect()[0][0])
+    ends = np.cumsum([net.p[k].size for k in names])
+    return Network({k: part.reshape(net.p[k].shape).astype(np.float32) for k, part in zip(names, np.split(found, ends[:-1]), strict=True)})
+
+
+def least_right(rows: DataFrame, langs: list[str], net: Network) -> float:
+    """The lowest pooled probability of a rightly labelled text of ``rows`` (_t, _l); 0 if there is none."""
+    spark = rows.sparkSession
+    common.ship(spark)
+    sent = spark.sparkContext.broadcast((langs, net.p))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _reader(*sent.value)
+        for batch in batches:
+            found = _labelled(own, batch.column(0).to_pylist())
+            right = [score for (got, score), lang in zip(found, batch.column(1).to_pylist(), strict=True) if got == lang != UNKNOWN]
+            yield pa.RecordBatch.from_arrays([pa.array([min(right, default=None)], pa.float64())], names=["least"])
+
+    least = rows.select("_t", "_l").mapInArrow(run, "least double").agg(F.min("least")).collect()[0][0]
+    return 0.0 if least is None else least
 
 
 def _reader(langs: list[str], params: dict[str, np.ndarray]) -> Reader:
